@@ -19,6 +19,54 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 
+def op2_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.token_files import read_tokens, token_folder, write_tokens
+
+    index = write_tokens(table(spark, sf_dir, "documents"), token_folder(spark), "word_bpe_49k.json", spaced=False, end_id=1)
+    return read_tokens(index, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.quality_rules import quality_rules
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    scored = quality_rules(table(spark, sf_dir, "documents"), trusted)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.token_counts import token_counts
+
+    counted = token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.packing import pack
+
+    packed = pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2, capacity=1024)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.common import scratch
+    from doclake.llm.warc import read_warc, write_warc
+
+    index = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return read_warc(index, with_payload=False).drop("url")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html)) AS sha, html FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
