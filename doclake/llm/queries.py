@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The key of the pseudonyms in the query and the pipeline; a deployment passes its own secret.
+PII_KEY = b"doclake-demonstration-key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +30,19 @@ def op2_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(index, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op3_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.sp_dropout import encode_documents
+
+    encoded = encode_documents(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", rate=0.1, seed=7, with_ids=False)
+    return encoded.withColumnRenamed("id", "doc_id")
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, kinds_col=None)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclake.llm.quality_rules import quality_rules
 
@@ -41,6 +58,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.embedding_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclake.llm.quality_classifier import quality_classifier
+
+    scored = quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclake.llm.packing import pack
 
@@ -56,14 +87,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(index, with_payload=False).drop("url")
 
 
-OP10_SQL = """
+def _base32_sql(hex_col: str) -> str:
+    """SQL for the base32 digits of a 40-digit hex string: eight groups of 20 bits, four digits each."""
+    groups = [f"substr({hex_col}, {5 * k + 1}, 5)" for k in range(8)]
+    digits = [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || {g} AS BIGINT) >> {5 * s}) & 31)::INT + 1, 1)" for g in groups for s in (3, 2, 1, 0)]
+    return " || ".join(digits)
+
+
+OP10_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-     d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html)) AS sha, html FROM p),
-     f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM d)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+     d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS sha,
+                  min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, {_base32_sql('sha')} AS payload_digest,
        CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
-FROM f
+FROM d
 """
 
 
@@ -72,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
