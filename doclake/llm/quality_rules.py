@@ -43,16 +43,26 @@ def with_base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     ordered = windows.withColumn("__sorted", F.expr("if(size(array_distinct(__win)) = size(__win), null, array_sort(transform(__win, (h, i) -> struct(h as h, i as i))))"))
     found = ordered.withColumn("__at", F.expr("array_sort(filter(transform(__sorted, (x, k) -> if(get(__sorted, k - 1).h = x.h or get(__sorted, k + 1).h = x.h, x.i, null)), p -> p is not null))"))
-    counted = found.withColumns(
-        {
-            "n_words": F.expr("cast(size(__hash) as bigint)"),
-            "word_chars": F.expr(rf"cast(length(regexp_replace(__text, r'{_WS}', '')) as bigint)"),
-            "n_symbols": F.expr("cast(length(__text) - length(regexp_replace(__text, '[#*$%&|<>]+', '')) as bigint)"),
-            "__lines": F.expr(r"if(instr(__trim, '\n') = 0, array(), filter(split(__text, '\n', -1), x -> x rlike r'[^\x20\x09-\x0D]'))"),
-            "n_repeat_words": F.expr("coalesce(aggregate(__at, struct(0L as n, -5 as p), (a, x) -> struct(a.n + least(5, x - a.p) as n, x as p), a -> a.n), 0L)"),
-        }
-    ).withColumn("n_dup_lines", F.expr("cast(size(__lines) - size(array_distinct(__lines)) as bigint)"))
-    return counted.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).drop("__text", "__trim", "__hash", "__win", "__sorted", "__at", "__lines")
+    lined = found.withColumn("__lines", F.expr(r"if(instr(__trim, '\n') = 0, array(), filter(split(__text, '\n', -1), x -> x rlike r'[^\x20\x09-\x0D]'))"))
+    counts = {
+        "n_words": F.expr("cast(size(__hash) as bigint)"),
+        "word_chars": F.expr(rf"cast(length(regexp_replace(__text, r'{_WS}', '')) as bigint)"),
+        "n_symbols": F.expr("cast(length(__text) - length(regexp_replace(__text, '[#*$%&|<>]+', '')) as bigint)"),
+        "n_dup_lines": F.expr("cast(size(__lines) - size(array_distinct(__lines)) as bigint)"),
+        "n_repeat_words": F.expr("coalesce(aggregate(__at, struct(0L as n, -5 as p), (a, x) -> struct(a.n + least(5, x - a.p) as n, x as p), a -> a.n), 0L)"),
+    }
+    counted = lined.withColumn("__counts", _once(F.struct(*[c.alias(n) for n, c in counts.items()]))).withColumns({n: F.col(f"__counts.{n}") for n in counts})
+    failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
+    return counted.withColumn("base_failed", failed).drop("__text", "__trim", "__hash", "__win", "__sorted", "__at", "__lines", "__counts")
+
+
+def _once(value: Column) -> Column:
+    """``value``, kept by the optimizer in a projection of its own.
+
+    A filter on what follows from it would otherwise be pushed down with copies of the whole expression, and a text would
+    be split anew for each of its words.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def _with_buckets(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
@@ -89,7 +99,8 @@ def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
     """``docs`` with ``llr``, the mean weight of all pieces and pairs of a text; 0 for a text without any."""
     known = _with_buckets(docs, text_col, len(weights)).withColumn("__w", F.lit(np.asarray(weights, dtype=np.float64)))
     total = "aggregate(__one, 0D, (s, b) -> s + get(__w, b)) + aggregate(__two, 0D, (s, b) -> s + get(__w, b))"
-    return known.withColumn("llr", F.expr(f"if(size(__one) = 0, 0D, ({total}) / (size(__one) + size(__two)))")).drop("__one", "__two", "__w")
+    mean = F.expr(f"if(size(__one) = 0, 0D, ({total}) / (size(__one) + size(__two)))")
+    return known.withColumn("llr", _once(mean)).drop("__one", "__two", "__w")
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
