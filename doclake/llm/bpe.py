@@ -9,10 +9,29 @@ from __future__ import annotations
 
 import heapq
 import json
+import string
 
 import numpy as np
+import regex
 
-from doclake.llm.common import Memo, regular, tokenizer, tokenizer_path
+from doclake.llm.common import Memo, plain_words, tokenizer, tokenizer_path
+
+
+_SIGNS = string.punctuation
+#: What a vocabulary with word ends takes apart inside a lower-cased run; each part ends with one word end.
+_WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def marked(text: str, words: list[str]) -> list[str]:
+    """A plain text's words with what stands before them: nothing for a blank, a line feed, or a return at the very start."""
+    runs = text.replace("\n", " \n").split(" ") if "\n" in text else words
+    runs[0] = "\r" + runs[0]
+    return runs
+
+
+def spelt(run: str) -> str:
+    """The text that a marked run stands for."""
+    return run if run[0] == "\n" else run[1:] if run[0] == "\r" else " " + run
 
 
 class Encoder:
@@ -25,16 +44,17 @@ class Encoder:
         self.lib = tokenizer(name)
         self.memo = Memo()
         self.spaced = spaced
+        self.blank = np.zeros(self.lib.get_vocab_size(), bool)
+        self.blank[[i for piece, i in self.lib.get_vocab().items() if piece.startswith("Ġ")]] = True
+        self.ending = np.zeros_like(self.blank)
+        self.ending[[i for piece, i in self.lib.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def runs(self, text: str) -> list[str] | None:
-        if not regular(text) or "\0" in text:
-            return None
-        if self.spaced:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return text.split()
+        words = plain_words(text)
+        return marked(text, words) if words and self.spaced else words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One byte string per text; null and empty texts have no ids."""
@@ -56,16 +76,45 @@ class Encoder:
         return out
 
     def learn(self, new: set[str]) -> None:
-        memo, old, ask = self.memo, self.memo.old, []
-        for run in new:
-            if run in old:
-                memo[run] = old[run]
-            else:
-                ask.append(run)
-        for at in range(0, len(ask), 4096):
-            part = ask[at : at + 4096]
-            for run, got in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                memo[run] = np.array(got.ids, "<u4").tobytes()
+        """Ids of runs that aren't remembered: many are encoded as one text and cut apart again where the next one starts."""
+        memo, old = self.memo, self.memo.old
+        known = [run for run in new if run in old]
+        memo.update((run, old[run]) for run in known)
+        ask = list(new.difference(known))
+        if not self.spaced:
+            simple = [run for run in ask if (run.isascii() or run.strip(_SIGNS).isalpha()) and len(run.lower()) == len(run)]
+            for at in range(0, len(simple), 1024):
+                part = simple[at : at + 1024]
+                memo.update(zip(part, self.apart(part, " ".join(part))))
+            memo.update((run, self.whole(run)) for run in ask if run not in memo)
+            return
+        after_blank = [run for run in ask if run[0] not in "\n\r"]
+        for at in range(0, len(after_blank), 1024):
+            part = after_blank[at : at + 1024]
+            memo.update(zip(part, self.apart([" " + run for run in part], " " + " ".join(part))))
+        for run in ask:
+            if run[0] in "\n\r":
+                memo[run] = self.whole(spelt(run))
+
+    def apart(self, runs: list[str], joined: str) -> list[bytes]:
+        ids = self.ids(joined)
+        if self.spaced:
+            starts = np.nonzero(self.blank[ids])[0]
+            stops = np.append(starts[1:], len(ids))
+        else:
+            ends = np.nonzero(self.ending[ids])[0] + 1
+            last = np.cumsum([1 if run.isalpha() else len(_WORD_PARTS.findall(run.lower())) for run in runs]) - 1
+            if last[-1] + 1 != len(ends):
+                return [self.whole(run) for run in runs]
+            stops = ends[last]
+            starts = np.append(0, stops[:-1])
+        if len(starts) != len(runs):
+            return [self.whole(run) for run in runs]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist())]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 class MergeCounter(Memo):
@@ -76,8 +125,6 @@ class MergeCounter(Memo):
     """
 
     def __init__(self, name: str):
-        import regex
-
         super().__init__()
         spec = json.load(open(name if "/" in name else tokenizer_path(name), encoding="utf-8"))
         model = spec["model"]
@@ -143,7 +190,7 @@ class MergeCounter(Memo):
     def __missing__(self, run: str) -> int:
         n = self.old.get(run)
         if n is None:
-            n = self.pieces(run)
+            n = self.pieces(spelt(run))
         self[run] = n
         return n
 
@@ -152,8 +199,9 @@ class MergeCounter(Memo):
             return 0
         self.room()
         self.words.room()
-        if regular(text) and "\0" not in text:
-            return sum(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        words = plain_words(text)
+        if words:
+            return sum(map(self.__getitem__, marked(text, words)))
         return sum(self.pieces(part) for part in self.special.split(text)) + len(self.special.findall(text))
 
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a per-worker memo may hold before its older half is forgotten.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 500_000
 
 _OWN_ROOT: list[str] = []
 
@@ -78,12 +77,15 @@ class Memo(dict):
             self.clear()
 
 
-#: Texts that hold only single blanks and line feeds between words; others take the general path.
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|<\|")
+def plain_words(text: str) -> list[str] | None:
+    """The words of a text that holds nothing between them but single blanks and line feeds; None for any other text.
 
-
-def regular(text: str) -> bool:
-    return _IRREGULAR.search(text) is None
+    A text with what may be a special string isn't plain either.
+    """
+    words = text.split()
+    if "<|" in text or "\x01" in text or " ".join(words) != text.replace("\n", " "):
+        return None
+    return words
 
 
 def tokenizer_path(name: str) -> str:
