@@ -1,15 +1,497 @@
-"""The registry of the engine's own queries and their SQL."""
+"""The engine's own queries over whole tables, each with the SQL that gives the same rows.
+
+The documents hold no Markdown, so cleaning, headings and images work on a text that both sides build around each of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from doclake.functions import images, names
+from doclake.functions.addresses import ipv4_private
+from doclake.functions.text import NOT_WS, WS, charset, escape_html, escape_md_cell
+from doclake.operators import chunking, cleaning, naming, routing, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lit(text: str) -> str:
+    """A DuckDB string literal."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
+# ── texts ────────────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+#: Put around each document: every cleaning rule has something to do, and code that it must leave alone.
+BEFORE = ("## Doc ", "\n\n\n\nPage ", " of 9\n   two   spaces \there  \n")
+AFTER = "\n第 3 页\n\\[7\\]\n- 4 -\nP. 12\n\n \n\n```\nPage 1\n\n\n\na  b\na  b\n```\nsame line\nsame line\nsame line\n    code  one\n    code  one\n　wide　space\n# Last part\nbody\n##\nnext ![](img/"
+END = '.png "t") ![alt](x.png) ![ ](<a b.png>)\n'
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit(BEFORE[0]), "doc_id", F.lit(BEFORE[1]), "doc_id", F.lit(BEFORE[2]), "text", F.lit(AFTER), "doc_id", F.lit(END))
+    return docs.select("doc_id", text.alias("text"))
+
+
+MD = f"md AS (SELECT doc_id, {lit(BEFORE[0])} || doc_id || {lit(BEFORE[1])} || doc_id || {lit(BEFORE[2])} || text || {lit(AFTER)} || doc_id || {lit(END)} AS text FROM documents)"
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+     k AS (SELECT *, CASE WHEN n <= 512 THEN 1 ELSE 1 + CAST(ceil((n - 512) / 448.0) AS BIGINT) END AS c FROM d WHERE n > 0),
+     i AS (SELECT *, unnest(range(c)) AS i FROM k)
+SELECT doc_id, i AS chunk_index, c AS chunk_count, i * 448 AS start_index, least(i * 448 + 512, n) AS end_index,
+       substr(text, i * 448 + 1, 512) AS chunk_text FROM i"""
+)
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SENTENCES = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '\\A{WS}+|{WS}+\\z', '', 'g') AS text FROM documents),
+     p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).+?(?:[.!?。！？]{WS}+|\\z)')) AS p,
+                  generate_subscripts(regexp_extract_all(text, '(?s).+?(?:[.!?。！？]{WS}+|\\z)'), 1) AS k FROM d WHERE text <> ''),
+     s AS (SELECT doc_id, k, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p) AS a, length(regexp_replace(p, '{WS}+\\z', '')) AS n FROM p),
+     w AS (SELECT doc_id, k, a AS start, a + n AS last, n AS held, CAST(NULL AS BIGINT) AS fs, CAST(NULL AS BIGINT) AS fe FROM s WHERE k = 1
+           UNION ALL
+           SELECT s.doc_id, s.k,
+                  CASE WHEN w.held + s.n + 1 > 512 THEN greatest(w.start, w.last - 64) ELSE w.start END,
+                  s.a + s.n,
+                  CASE WHEN w.held + s.n + 1 > 512 THEN w.last - greatest(w.start, w.last - 64) + s.n + 1 ELSE w.held + s.n + 1 END,
+                  CASE WHEN w.held + s.n + 1 > 512 THEN w.start END, CASE WHEN w.held + s.n + 1 > 512 THEN w.last END
+           FROM w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1),
+     c AS (SELECT doc_id, fs AS a, fe AS b, k FROM w WHERE fs IS NOT NULL
+           UNION ALL SELECT doc_id, max_by(start, k), max_by(last, k), max(k) + 1 FROM w GROUP BY doc_id)
+SELECT c.doc_id, row_number() OVER o - 1 AS chunk_index, count(*) OVER (PARTITION BY c.doc_id) AS chunk_count,
+       CAST(a AS BIGINT) AS start_index, CAST(b AS BIGINT) AS end_index, substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS chunk_text
+FROM c JOIN d ON d.doc_id = c.doc_id WINDOW o AS (PARTITION BY c.doc_id ORDER BY k)"""
+
+
+@query(SENTENCES)
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.sentence_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+H, B = "\ue000", "\ue001"
+SECTIONS = f"""WITH {MD},
+     m AS (SELECT doc_id, text, regexp_replace(text, '(?m)^(#{{1,6}}){WS}+(.*?){WS}*$', '{H}\\0{B}', 'g') AS m FROM md),
+     p AS (SELECT doc_id, text, unnest(string_split(m, '{H}')) AS p, generate_subscripts(string_split(m, '{H}'), 1) AS k FROM m),
+     n AS (SELECT *, CASE WHEN k = 1 THEN length(p) ELSE length(p) - 1 END AS n, CASE WHEN k = 1 THEN 0 ELSE instr(p, '{B}') - 1 END AS head FROM p),
+     a AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) - n AS a FROM n),
+     g AS (SELECT doc_id, text, k, CAST(a AS BIGINT) AS a,
+                  CAST(a + CASE WHEN k = 1 OR regexp_matches(string_split(p, '{B}')[2], '{NOT_WS}') THEN n ELSE head END AS BIGINT) AS b,
+                  CASE WHEN k = 1 THEN '' ELSE regexp_extract(substr(p, 1, head), '(?m)^(#{{1,6}}){WS}+(.*?){WS}*$', 2) END AS header
+           FROM a WHERE k > 1 OR regexp_matches(p, '{NOT_WS}'))"""
+
+
+@query(
+    SECTIONS
+    + """
+SELECT doc_id, row_number() OVER o - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count, a AS start_index, b AS end_index,
+       header, CAST(NULL AS BIGINT) AS part, substr(text, a + 1, b - a) AS chunk_text FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY k)"""
+)
+def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.heading_chunks(markdown(spark, sf_dir))
+
+
+@query(
+    SECTIONS
+    + """,
+     c AS (SELECT *, unnest(range(1 + (b - a - 1) // 300)) AS j FROM g),
+     e AS (SELECT doc_id, text, k, j, header, CASE WHEN b - a > 300 THEN j END AS part, a + j * 300 AS a, least(a + (j + 1) * 300, b) AS b FROM c)
+SELECT doc_id, row_number() OVER o - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count, a AS start_index, b AS end_index,
+       header, part, substr(text, a + 1, b - a) AS chunk_text FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY k, j)"""
+)
+def heading_chunks_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.heading_chunks(markdown(spark, sf_dir), max_size=300)
+
+
+LINES = f"""WITH {MD},
+     l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM md),
+     l1 AS (SELECT *, regexp_matches(line, '\\A{WS}*(?:`{{3}}|~{{3}})') AS fence FROM l0),
+     lines AS (SELECT doc_id, pos, line, fence OR sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 OR regexp_matches(line, '\\A[ \\t]{{4}}') AS code FROM l1)"""
+BLANK = f"NOT regexp_matches(line, '{NOT_WS}')"
+MARKERS = "|".join(
+    [r"\A\[\p{Nd}+\]\z", rf"\A第{WS}*\p{{Nd}}+{WS}*页\z", rf"\A-{WS}*\p{{Nd}}+{WS}*-\z", rf"(?i:\Apage{WS}*\p{{Nd}}+{WS}*(?:of|/){WS}*\p{{Nd}}+\z)", rf"(?i:\A(?:Page|Pág\.|P\.){WS}*\p{{Nd}}+\z)"]
+)
+_STEPS = {
+    "page_numbers": f"SELECT * FROM {{0}} WHERE code OR NOT regexp_matches(regexp_replace(regexp_replace(line, '\\A{WS}+|{WS}+\\z', '', 'g'), '\\\\([\\\\\\[\\]\\-.()])', '\\1', 'g'), '{MARKERS}')",
+    "empty_lines": "SELECT doc_id, pos, CASE WHEN blank THEN '' ELSE line END AS line, code FROM {runs}",
+    "spaces": f"SELECT doc_id, pos, CASE WHEN NOT regexp_matches(line, '{NOT_WS}') THEN line WHEN code THEN regexp_replace(line, '{WS}+\\z', '') ELSE regexp_extract(line, '\\A([ \\t]*)', 1) || regexp_replace(regexp_replace(line, '\\A[ \\t]+|[ \\t]+\\z', '', 'g'), '[ \\t]+', ' ', 'g') END AS line, code FROM (SELECT doc_id, pos, replace(line, chr(12288), ' ') AS line, code FROM {{0}})",
+    "duplicates": "SELECT doc_id, pos, line, code FROM {runs}",
+}
+
+
+def _runs(source: str, same: str) -> str:
+    return f"""(SELECT * FROM (SELECT *, first_value(code) OVER (PARTITION BY doc_id, run ORDER BY pos) AS lead FROM (
+        SELECT *, sum((NOT same)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+          SELECT *, coalesce({same}, false) AS same FROM (SELECT *, {BLANK} AS blank FROM {source}))))
+      WHERE NOT same OR (code AND lead))"""
+
+
+def clean_sql(*steps: str) -> str:
+    sql, source = LINES, "lines"
+    over = "OVER (PARTITION BY doc_id ORDER BY pos)"
+    same = {"empty_lines": f"blank AND lag(blank) {over}", "duplicates": f"NOT blank AND line = lag(line) {over}"}
+    for step in steps:
+        runs = _runs(source, same[step]) if step in same else ""
+        sql += f",\n     c_{step} AS ({_STEPS[step].replace('{0}', source).replace('{runs}', runs)})"
+        source = f"c_{step}"
+    return sql + f"\nSELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM {source} GROUP BY doc_id"
+
+
+def _clean(spark: SparkSession, sf_dir: str, *steps: str) -> DataFrame:
+    rules = cleaning.Rules(*[s in steps for s in ("page_numbers", "empty_lines", "spaces", "duplicates")])
+    return cleaning.clean(markdown(spark, sf_dir), "doc_id", "text", rules)
+
+
+@query(LINES + "\nSELECT doc_id, pos, code AS is_code FROM lines")
+def code_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.to_lines(markdown(spark, sf_dir), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "is_code")
+
+
+@query(clean_sql("page_numbers"))
+def clean_page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir, "page_numbers")
+
+
+@query(clean_sql("empty_lines"))
+def clean_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir, "empty_lines")
+
+
+@query(clean_sql("spaces"))
+def clean_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir, "spaces")
+
+
+@query(clean_sql("duplicates"))
+def clean_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir, "duplicates")
+
+
+@query(clean_sql("page_numbers", "empty_lines", "spaces", "duplicates"))
+def clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir, "page_numbers", "empty_lines", "spaces", "duplicates")
+
+
+# ── images ───────────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+BLANK_REF = rf"!\[{WS}*\]\(([^)]*)\)"
+_BARE = f"regexp_replace(regexp_replace(x, '\\A{WS}+|{WS}+\\z', '', 'g'), '\\s+[\"''].*[\"'']\\z', '')"
+
+
+@query(rf"WITH {MD}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '!\[[^\]]*\]\([^)]*\)')) AS ref FROM md) SELECT doc_id, ref FROM r")
+def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown(spark, sf_dir).select("doc_id", F.explode(images.image_refs("text")).alias("ref"))
+
+
+@query(
+    f"""WITH {MD}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{BLANK_REF}')) AS ref FROM md),
+     u AS (SELECT doc_id, ref, regexp_extract(ref, '\\]\\(([^)]*)\\)\\z', 1) AS x FROM r),
+     b AS (SELECT doc_id, ref, {_BARE} AS url FROM u)
+SELECT doc_id, ref, CASE WHEN url LIKE '<%>' THEN substr(url, 2, length(url) - 2) ELSE url END AS url FROM b"""
+)
+def describable_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown(spark, sf_dir).select("doc_id", F.explode(images.describable_refs("text")).alias("r")).select("doc_id", "r.ref", "r.url")
+
+
+CAPTION = "\n\n> \U0001f5bc️ 图片描述："
+
+
+@query(
+    f"""WITH {MD}, r AS (SELECT doc_id, text, regexp_extract_all(text, '{BLANK_REF}') AS refs FROM md),
+     o AS (SELECT doc_id, text, refs, instr(text, refs[1]) AS a FROM r)
+SELECT doc_id, substr(text, 1, a - 1) || refs[1] || {lit(CAPTION)} || 'picture of ' || doc_id || substr(text, a + length(refs[1])) AS text FROM o"""
+)
+def apply_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first blank reference gets a caption, the second an empty one."""
+    captions = F.array(F.concat(F.lit("picture of "), F.col("doc_id").cast("string")), F.lit(""))
+    return markdown(spark, sf_dir).withColumn("c", captions).select("doc_id", images.apply_captions("text", "c").alias("text"))
+
+
+# ── sources and names ────────────────────────────────────────────────────────────────────────────────────────────────────
+
+EXTENSIONS = ("docx", "XLSX", "doc", "xls", "pdf", "tar.gz", "", "MD", "html")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of all pages, and a file name for each of them."""
+    pages = table(spark, sf_dir, "pages")
+    ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("page_id") % len(EXTENSIONS)).cast("int"))
+    path = F.concat(F.lit("in box/Report: "), (F.col("page_id") % 50).cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+    return pages.select("page_id", F.col("url").alias("source")).unionByName(pages.select("page_id", path.alias("source")))
+
+
+SOURCES = f"src AS (SELECT page_id, url AS source FROM pages UNION ALL SELECT page_id, 'in box/Report: ' || page_id % 50 || CASE WHEN e = '' THEN '' ELSE '.' || e END FROM (SELECT page_id, ({list(EXTENSIONS)})[page_id % {len(EXTENSIONS)} + 1] AS e FROM pages))"
+SUFFIX = r"lower(regexp_extract(regexp_extract(source, '([^/]*)\z', 1), '\A\.*[^.].*?(\.[^.]*)\z', 1))"
+_PATH = r"regexp_extract(source, '\A[^:]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(
+    rf"""WITH {SOURCES}, p AS (SELECT page_id, source, regexp_extract({_PATH}, '([^/]*)\z', 1) AS last, {SUFFIX} AS e FROM src)
+SELECT page_id, source, CASE WHEN contains(source, '://') THEN lower(CASE WHEN last = '' THEN 'url' ELSE last END) ELSE substr(e, 2) END AS source_format FROM p"""
+)
+def source_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources(spark, sf_dir).withColumn("source_format", names.source_format("source"))
+
+
+ROUTED = rf"""WITH {SOURCES}, e AS (SELECT page_id, source, contains(source, '://') AS url, {SUFFIX} AS e FROM src),
+     s AS (SELECT page_id, source, NOT url AND e IN ('.docx', '.xls', '.xlsx', '.doc') AS deep, url OR e <> '.doc' AS breadth FROM e)"""
+
+
+@query(ROUTED + "\nSELECT page_id, source, CASE WHEN deep THEN 'deep' ELSE 'breadth' END AS engine, CASE WHEN breadth THEN 'breadth' ELSE 'deep' END AS without_deep FROM s")
+def route_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without = routing.Routing(deep_available=False)
+    return sources(spark, sf_dir).withColumns({"engine": routing.select_engine("source"), "without_deep": routing.select_engine("source", without)})
+
+
+@query(ROUTED + "\nSELECT page_id, source, CASE WHEN deep AND breadth THEN 'deep,breadth' WHEN deep THEN 'deep' ELSE 'breadth' END AS chain, CASE WHEN deep THEN 'deep' ELSE 'breadth' END AS only_first FROM s")
+def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = routing.fallback_chain("source", routing.Routing(allow_fallback=False))
+    return sources(spark, sf_dir).withColumns({"chain": F.array_join(routing.fallback_chain("source"), ","), "only_first": F.array_join(first, ",")})
+
+
+@query(
+    rf"""WITH {SOURCES},
+     r AS (SELECT page_id, source, regexp_replace(regexp_extract(source, '\Ahttps?://([^?#]*)', 1), '/+\z', '') AS u, regexp_extract(source, '([^/]*)\z', 1) AS f FROM src),
+     s AS (SELECT page_id, source, CASE WHEN contains(source, '://') THEN CASE WHEN contains(u, '/') THEN regexp_replace(u, '\.[A-Za-z0-9]{{1,5}}\z', '') ELSE u END
+                  ELSE substr(f, 1, length(f) - length(regexp_extract(f, '\A\.*[^.].*?(\.[^.]*)\z', 1))) END AS s FROM r)
+SELECT page_id, source, regexp_replace(regexp_replace(s, '[^\p{{L}}\p{{Nd}}_.-]+', '_', 'g'), '\A[._-]+|[._-]+\z', '', 'g') || '.md' AS name FROM s"""
+)
+def download_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources(spark, sf_dir).withColumn("name", names.download_name("source"))
+
+
+_MESSY = ("a/b:c", "con.txt", "  ", "x" * 200, "tab\there", 'q"<>|*?')
+
+
+@query(
+    rf"""WITH n AS (SELECT p_partkey, ({['a/b:c', 'con.txt', '  ', 'x' * 200]} || ['tab' || chr(9) || 'here', 'q"<>|*?'])[p_partkey % 6 + 1] || CASE WHEN p_partkey % 6 IN (1, 2) THEN '' ELSE p_name END AS name FROM part),
+     c AS (SELECT p_partkey, name, regexp_replace(regexp_replace(name, '[\x00-\x1f]', '', 'g'), '[/\\:*?"<>|]', '_', 'g') AS c FROM n),
+     b AS (SELECT p_partkey, name, CASE WHEN trim(c) = '' THEN 'untitled' ELSE c END AS c FROM c)
+SELECT p_partkey, name, rtrim(substr(CASE WHEN upper(string_split(c, '.')[1]) IN {names.RESERVED} THEN '_' || c ELSE c END, 1, 180)) AS cleaned FROM b"""
+)
+def clean_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messy = F.get(F.array(*[F.lit(x) for x in _MESSY]), (F.col("p_partkey") % 6).cast("int"))
+    name = F.concat(messy, F.when((F.col("p_partkey") % 6).isin(1, 2), "").otherwise(F.col("p_name")))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("cleaned", names.clean_filename("name"))
+
+
+@query(
+    """WITH n AS (SELECT page_id, 'report ' || page_id % 7 || '.md' AS name FROM pages),
+     k AS (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS k FROM n)
+SELECT page_id, name, CASE WHEN k = 0 THEN name ELSE replace(name, '.md', '_' || k || '.md') END AS unique_name FROM k"""
+)
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("report "), (F.col("page_id") % 7).cast("string"), F.lit(".md")).alias("name"))
+    return naming.unique_names(named, "name", "page_id")
+
+
+@query(
+    """WITH n AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'Q"' ELSE 'Q<' END || c_mktsegment AS sheet FROM customer),
+     b AS (SELECT *, replace(replace(sheet, '"', '_'), '<', '_') AS b FROM n),
+     k AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, b ORDER BY c_custkey) AS k FROM b)
+SELECT c_custkey, c_nationkey, sheet, CASE WHEN k = 1 THEN b ELSE b || '_' || k END AS suffix FROM k"""
+)
+def sheet_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = F.concat(F.when(F.col("c_custkey") % 2 == 0, 'Q"').otherwise("Q<"), "c_mktsegment")
+    return naming.sheet_suffixes(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", sheet.alias("sheet")), "c_nationkey", "sheet", "c_custkey")
+
+
+_HOST = "({0} * 7919 % 256) || '.' || ({0} * 31 % 256) || '.' || ({0} * 17 % 256) || '.' || ({0} % 256)"
+
+
+def _private_sql() -> str:
+    from doclake.functions.addresses import IPV4_RANGES
+
+    inside = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in IPV4_RANGES)
+    host = _HOST.format("c_custkey")
+    return f"""WITH h AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '10.0.0.' || c_custkey % 256 WHEN c_custkey % 13 = 0 THEN '192.168.1.' || c_custkey % 256 ELSE {host} END AS host FROM customer),
+     n AS (SELECT *, list_reduce([x::BIGINT FOR x IN string_split(host, '.')], lambda a, b: a * 256 + b) AS n FROM h)
+SELECT c_custkey, host, ({inside}) AS private FROM n"""
+
+
+@query(_private_sql())
+def url_private_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    dotted = F.concat_ws(".", *[(key * m % 256).cast("string") for m in (7919, 31, 17, 1)])
+    host = F.when(key % 11 == 0, F.concat(F.lit("10.0.0."), (key % 256).cast("string"))).when(key % 13 == 0, F.concat(F.lit("192.168.1."), (key % 256).cast("string"))).otherwise(dotted)
+    return table(spark, sf_dir, "customer").select("c_custkey", host.alias("host")).withColumn("private", ipv4_private("host"))
+
+
+_CTYPE = "({0})[page_id % 5 + 1]"
+_CTYPES = ["text/html", "text/html; charset=GBK", 'text/html; charset="utf-8"', "text/html; Charset= 'latin-1'", ""]
+
+
+@query("WITH c AS (SELECT page_id, ['text/html', 'text/html; charset=GBK', 'text/html; charset=\"utf-8\"', 'text/html; Charset= ''latin-1''', ''][page_id % 5 + 1] AS c FROM pages) SELECT page_id, CASE WHEN regexp_extract(c, '(?i)charset=\\s*[\"'']?([\\w-]+)', 1) = '' THEN 'utf-8' ELSE regexp_extract(c, '(?i)charset=\\s*[\"'']?([\\w-]+)', 1) END AS charset FROM c")
+def charset_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*[F.lit(c) for c in _CTYPES]), (F.col("page_id") % 5).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", charset(kind).alias("charset"))
+
+
+@query("SELECT page_id, replace(replace(html, '|', '\\|'), chr(10), '<br>') AS md_cell, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html_cell FROM pages")
+def escaped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", escape_md_cell("html").alias("md_cell"), escape_html("url").alias("html_cell"))
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/bmp' WHEN 4 THEN 'image/webp' END AS mime FROM pages")
+def image_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ("89504E470D0A1A0A00", "FFD8FFE0", "474946383961", "424D0000", "52494646000000005745425000", "25504446")
+    head = F.unhex(F.get(F.array(*[F.lit(h) for h in heads]), (F.col("page_id") % 6).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", images.image_mime(head).alias("mime"))
+
+
+# ── worksheets ───────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet per region: a header, then a row per nation, and below each a blank row where its key is even."""
+    nations = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    rows = nations.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("sheet"), (2 + 2 * key).cast("int").alias("row"), F.array(F.concat("n_name", F.lit("|x")), key.cast("string"), F.when(key % 3 == 0, F.lit(" ")).otherwise(F.lit("a\\nb"))).alias("v"), (key % 2 == 0).alias("even"))
+    blank = rows.where("even").select("sheet", (F.col("row") + 1).alias("row"), F.array(*[F.lit(None).cast("string")] * 3).alias("v"))
+    head = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("sheet"), F.lit(1).alias("row"), F.array(F.col("r_name"), F.lit("7"), F.lit(None).cast("string")).alias("v"))
+    every = rows.drop("even").unionByName(blank).unionByName(head)
+    return every.select(F.lit("book.xlsx").alias("source"), "sheet", "row", F.posexplode("v").alias("c", "value")).select("source", "sheet", "row", (F.col("c") + 1).alias("col"), "value")
+
+
+def nation_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In every sheet: a merged header, and from each nation's row a merge of two columns and, every fifth time, two rows."""
+    head = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("sheet"), F.lit(1).alias("min_row"), F.lit(1).alias("min_col"), F.lit(1).alias("max_row"), F.lit(2).alias("max_col"))
+    key = F.col("n_nationkey")
+    body = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 1").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("sheet"), (2 + 2 * key).cast("int").alias("min_row"), F.lit(2).alias("min_col"), (2 + 2 * key + F.when(key % 5 == 0, 1).otherwise(0)).cast("int").alias("max_row"), F.lit(4).alias("max_col"))
+    return head.unionByName(body).select(F.lit("book.xlsx").alias("source"), "sheet", "min_row", "min_col", "max_row", "max_col")
+
+
+CELLS = """v AS (SELECT 'r' || n_regionkey AS sheet, 2 + 2 * n_nationkey AS row, [n_name || '|x', n_nationkey::VARCHAR, CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE 'a\\nb' END] AS v FROM nation
+       UNION ALL SELECT 'r' || n_regionkey, 3 + 2 * n_nationkey, [NULL, NULL, NULL] FROM nation WHERE n_nationkey % 2 = 0
+       UNION ALL SELECT 'r' || r_regionkey, 1, [r_name, '7', NULL] FROM region),
+     cells AS (SELECT 'book.xlsx' AS source, sheet, row::INT AS row, generate_subscripts(v, 1)::INT AS col, unnest(v) AS value FROM v),
+     merges AS (SELECT 'book.xlsx' AS source, 'r' || r_regionkey AS sheet, 1 AS min_row, 1 AS min_col, 1 AS max_row, 2 AS max_col FROM region
+       UNION ALL SELECT 'book.xlsx', 'r' || n_regionkey, 2 + 2 * n_nationkey, 2, 2 + 2 * n_nationkey + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END, 4 FROM nation WHERE n_nationkey % 4 = 1),
+     alive AS (SELECT DISTINCT source, sheet, row FROM cells WHERE value IS NOT NULL),
+     rmap AS (SELECT *, row_number() OVER (PARTITION BY source, sheet ORDER BY row)::INT AS new_row FROM alive),
+     kept AS (SELECT c.source, c.sheet, new_row AS row, col, coalesce(value, '') AS value FROM cells c JOIN rmap USING (source, sheet, row)),
+     spans AS (SELECT m.*, unnest(range(min_row, max_row + 1)) AS row FROM merges m),
+     moved AS (SELECT source, sheet, min(new_row)::INT AS min_row, min_col, max(new_row)::INT AS max_row, max_col FROM spans JOIN rmap USING (source, sheet, row)
+               GROUP BY source, sheet, spans.min_row, min_col, spans.max_row, max_col HAVING count(*) = spans.max_row - spans.min_row + 1),
+     legs AS (SELECT source, sheet, r::INT AS row, c::INT AS col, min_row, min_col, (max_row - min_row + 1)::INT AS rowspan, (max_col - min_col + 1)::INT AS colspan, r = min_row AND c = min_col AS is_master
+              FROM (SELECT *, unnest(range(min_col, max_col + 1)) AS c FROM (SELECT *, unnest(range(min_row, max_row + 1)) AS r FROM moved)))"""
+GRID = (
+    CELLS
+    + """,
+     size AS (SELECT source, sheet, max(row) AS rows, greatest(max(col), {wide}) AS cols FROM kept GROUP BY source, sheet),
+     every AS (SELECT source, sheet, rows, cols, r::INT AS row, unnest(range(1, cols + 1))::INT AS col FROM (SELECT *, unnest(range(1, rows + 1)) AS r FROM size)),
+     grid AS (SELECT e.*, coalesce(value, '') AS value, rowspan, colspan, is_master, min_row, min_col FROM every e LEFT JOIN kept USING (source, sheet, row, col) LEFT JOIN legs USING (source, sheet, row, col))"""
+)
+PLAIN = GRID.replace("{wide}", "0")
+MERGED = GRID.replace("{wide}", "coalesce((SELECT max(max_col) FROM moved m WHERE m.source = kept.source AND m.sheet = kept.sheet), 0)")
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tables.prepare(nation_cells(spark, sf_dir), nation_merges(spark, sf_dir))
+
+
+@query(f"WITH {CELLS} SELECT c.source, c.sheet, c.row, col, value FROM cells c SEMI JOIN alive USING (source, sheet, row)")
+def drop_blank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.drop_blank_rows(nation_cells(spark, sf_dir)).select("source", "sheet", "row", "col", "value")
+
+
+@query(f"WITH {CELLS} SELECT c.source, c.sheet, new_row AS row, col, value FROM cells c JOIN rmap USING (source, sheet, row)")
+def remap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.remap_rows(nation_cells(spark, sf_dir)).select("source", "sheet", "row", "col", "value")
+
+
+@query(f"WITH {CELLS} SELECT * FROM moved")
+def remap_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheets(spark, sf_dir)[1].select("source", "sheet", "min_row", "min_col", "max_row", "max_col")
+
+
+@query(f"WITH {CELLS} SELECT source, sheet, row, col, min_row, min_col, rowspan, colspan, is_master FROM legs")
+def merge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.merge_map(_sheets(spark, sf_dir)[1])
+
+
+def _md_sql(grid: str, cell: str) -> str:
+    return f"""WITH {grid},
+     r AS (SELECT source, sheet, rows, cols, row, '| ' || string_agg({cell}, ' | ' ORDER BY col) || ' |' AS line FROM grid GROUP BY ALL),
+     t AS (SELECT source, sheet, rows, cols, string_agg(CASE WHEN row = 1 THEN line || chr(10) || '|' || repeat(' --- |', cols) ELSE line END, chr(10) ORDER BY row) AS t FROM r GROUP BY ALL)
+SELECT source, sheet, '<!-- source: ' || source || ' | sheet: ' || sheet || ' | rows: ' || (rows - 1) || ' | cols: ' || cols || ' -->' || chr(10) || chr(10) || t AS markdown FROM t"""
+
+
+_MD_CELL = "replace(replace({0}, '|', '\\|'), chr(10), '<br>')"
+
+
+@query(_md_sql(PLAIN, "CASE WHEN value = '' THEN '&nbsp;' ELSE " + _MD_CELL.format("replace(value, '\\n', chr(10))") + " END"))
+def md_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.md_table(_sheets(spark, sf_dir)[0])
+
+
+@query(_md_sql(MERGED, "CASE WHEN is_master IS FALSE OR trim(value) = '' THEN '&nbsp;' ELSE " + _MD_CELL.format("value") + " END"))
+def md_table_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.md_table(*_sheets(spark, sf_dir))
+
+
+_SPAN = "CASE WHEN {0}span > 1 THEN ' {0}span=\"' || {0}span || '\" data-{0}span=\"' || {0}span || '\"' ELSE '' END"
+_PLACE = "' data-row=\"' || row || '\" data-col=\"' || col || '\"'"
+_VALUE = "CASE WHEN trim(value) = '' THEN '&nbsp;' ELSE replace(replace(replace(value, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END"
+_ROW, _COL = _SPAN.format("row"), _SPAN.format("col")
+
+
+@query(
+    f"""WITH {MERGED},
+     c AS (SELECT *, CASE WHEN is_master IS FALSE THEN NULL
+                     WHEN row = 1 THEN '<th' || CASE WHEN is_master AND rowspan > 1 THEN ' scope="col"' || {_PLACE} || {_COL} || {_ROW} WHEN is_master THEN {_PLACE} || {_ROW} || {_COL} ELSE ' scope="col"' || {_PLACE} END || '>' || {_VALUE} || '</th>'
+                     ELSE '<td' || CASE WHEN is_master THEN {_PLACE} || {_ROW} || {_COL} ELSE '' END || '>' || {_VALUE} || '</td>' END AS cell FROM grid),
+     r AS (SELECT source, sheet, row, '<tr data-row="' || row || '">' || string_agg(cell, '' ORDER BY col) || '</tr>' AS line FROM c GROUP BY source, sheet, row),
+     t AS (SELECT source, sheet, max(line) FILTER (row = 1) AS head, string_agg(line, chr(10) ORDER BY row) FILTER (row > 1) AS body FROM r GROUP BY source, sheet)
+SELECT source, sheet, '<table border="1" class="excel-data" id="data-table" data-sheet="' || sheet || '" data-source="' || source || '">' || chr(10) || '<thead>' || chr(10) || head || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || body || chr(10) || '</tbody>' || chr(10) || '</table>' AS html FROM t"""
+)
+def html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.html_table(*_sheets(spark, sf_dir))
+
+
+@query(
+    f"""WITH {MERGED},
+     b AS (SELECT source, sheet, col, min_by(value, row) FILTER (value <> '') AS h FROM grid GROUP BY ALL),
+     h AS (SELECT source, sheet, col, CASE WHEN regexp_matches(coalesce(h, ''), '\\A(Unnamed:\\s*[0-9]+|[0-9]+)\\z') THEN 'col_' || col ELSE coalesce(h, '') END AS header FROM b)
+SELECT g.source, g.sheet, g.row, g.col, header, header || '_col' || g.col AS key, CASE WHEN g.is_master IS FALSE THEN m.value ELSE g.value END AS value,
+       g.is_master IS NOT NULL AS merged, coalesce(NOT g.is_master, false) AS skipped, CASE WHEN g.is_master THEN g.rowspan END AS rowspan, CASE WHEN g.is_master THEN g.colspan END AS colspan
+FROM grid g JOIN h USING (source, sheet, col) LEFT JOIN grid m ON m.source = g.source AND m.sheet = g.sheet AND m.row = g.min_row AND m.col = g.min_col WHERE g.row > 1"""
+)
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.table_records(*_sheets(spark, sf_dir))
+    return found.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+
+
+@query()
+def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.json_table(*_sheets(spark, sf_dir))
