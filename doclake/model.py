@@ -1,0 +1,14 @@
+"""Schemas of results and chunks."""
+
+from __future__ import annotations
+
+OK, DEGRADED, ERROR = "ok", "degraded", "error"
+
+#: One row per source.
+RESULT = (
+    "source string, source_format string, engine string, status string, fallback_used boolean, markdown string, "
+    "metadata map<string,string>, sheets array<struct<sheet:string,rows:int,cols:int>>, output_paths array<string>, "
+    "warnings array<string>, errors array<string>, elapsed double"
+)
+CELL = "source string, sheet string, sheet_pos int, row int, col int, value string"
+MERGE = "source string, sheet string, min_row int, min_col int, max_row int, max_col int"
