@@ -10,8 +10,11 @@ from __future__ import annotations
 import heapq
 import json
 import string
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from doclake.llm.common import Memo, plain_words, tokenizer, tokenizer_path
@@ -34,70 +37,138 @@ def spelt(run: str) -> str:
     return run if run[0] == "\n" else run[1:] if run[0] == "\r" else " " + run
 
 
+def _byte_chars() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+class _Tails(dict):
+    """Ids of signs that end a word; there are few, and they are only remembered while they are short."""
+
+    def __init__(self, lib):
+        super().__init__()
+        self.lib = lib
+
+    def __missing__(self, signs: str) -> bytes:
+        ids = np.array(self.lib.encode(signs, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < 65_536 and len(signs) < 32:
+            self[signs] = ids
+        return ids
+
+
+#: White space other than single blanks and line feeds inside a text, and signs of a special string.
+_ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|<\||[\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def runs_of(texts: pa.Array, spaced: bool) -> pa.ListArray:
+    """The runs of plain, non-empty texts; with ``spaced``, marked with what stands before them."""
+    if not spaced:
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    return pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Every place in the spans that begin at ``starts``, one span after the other."""
+    stops = np.cumsum(lengths)
+    return np.repeat(starts - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, as ``tokenizers`` gives them without special tokens.
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, as ``tokenizers`` gives them without special tokens.
 
     ``spaced``: whether the vocabulary keeps white space (byte-level) or drops it between words.
     """
 
     def __init__(self, name: str, spaced: bool):
         self.lib = tokenizer(name)
-        self.memo = Memo()
+        self.model = self.lib.model.tokenize
+        self.memo, self.tails = Memo(), _Tails(self.lib)
         self.spaced = spaced
+        self.bytes = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(256)}
         self.blank = np.zeros(self.lib.get_vocab_size(), bool)
         self.blank[[i for piece, i in self.lib.get_vocab().items() if piece.startswith("Ġ")]] = True
         self.ending = np.zeros_like(self.blank)
         self.ending[[i for piece, i in self.lib.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def runs(self, text: str) -> list[str] | None:
-        words = plain_words(text)
-        return marked(text, words) if words and self.spaced else words
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One byte string per text; null and empty texts have no ids."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and how many each has; null and empty texts have none.
+
+        Runs are made distinct first, so the memo is asked once for each of them.
+        """
+        self.memo.room()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        runs = runs_of(texts.filter(pa.array(plain)), self.spaced)
+        ids, per_run = self.known(runs.flatten())
+        counts = np.zeros(len(texts), np.int64)
+        if plain.any():
+            counts[plain] = np.add.reduceat(per_run, runs.offsets.to_numpy()[:-1] - runs.offsets[0].as_py())
+        if not odd.any():
+            return ids, counts
+        places = np.nonzero(odd)[0]
+        others = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts.take(pa.array(places)).to_pylist(), add_special_tokens=False)]
+        before = np.cumsum(counts)[places]
+        counts[places] = [len(x) for x in others]
+        parts = np.split(ids, before)
+        return np.concatenate([x for pair in zip(parts, [*others, ids[:0]]) for x in pair]), counts
+
+    def known(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs, and how many each has."""
+        if not len(runs):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        coded = runs.dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         memo = self.memo
-        memo.room()
-        cut = [self.runs(t) if t else [] for t in texts]
-        runs = [run for c in cut if c for run in c]
-        ids = list(map(memo.get, runs))
+        ids = list(map(memo.get, words))
         if None in ids:
-            self.learn({run for run, known in zip(runs, ids) if known is None})
-            ids = [memo[run] if known is None else known for run, known in zip(runs, ids)]
-        out, at = [], 0
-        for text, c in zip(texts, cut):
-            if c is None:
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join(ids[at : at + len(c)]))
-                at += len(c)
-        return out
-
-    def learn(self, new: set[str]) -> None:
-        """Ids of runs that aren't remembered: many are encoded as one text and cut apart again where the next one starts."""
-        memo, old = self.memo, self.memo.old
-        known = [run for run in new if run in old]
-        memo.update((run, old[run]) for run in known)
-        ask = list(new.difference(known))
-        if not self.spaced:
-            simple = [run for run in ask if (run.isascii() or run.strip(_SIGNS).isalpha()) and len(run.lower()) == len(run)]
-            for at in range(0, len(simple), 1024):
-                part = simple[at : at + 1024]
-                memo.update(zip(part, self.apart(part, " ".join(part))))
-            memo.update((run, self.whole(run)) for run in ask if run not in memo)
-            return
-        after_blank = [run for run in ask if run[0] not in "\n\r"]
-        for at in range(0, len(after_blank), 1024):
-            part = after_blank[at : at + 1024]
-            memo.update(zip(part, self.apart([" " + run for run in part], " " + " ".join(part))))
-        for run in ask:
-            if run[0] in "\n\r":
-                memo[run] = self.whole(spelt(run))
-
-    def apart(self, runs: list[str], joined: str) -> list[bytes]:
-        ids = self.ids(joined)
+            self.learn([word for word, known in zip(words, ids) if known is None])
+            ids = [memo[word] if known is None else known for word, known in zip(words, ids)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        per_run = lengths[codes]
+        return flat[spans((np.cumsum(lengths) - lengths)[codes], per_run)], per_run
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of runs that aren't remembered.
+
+        A word of plain letters, with or without signs behind it, goes to the model itself, as its normal form is known.
+        Of the others, many are encoded as one text and cut apart again where the next one starts.
+        """
+        memo, old, tails, model = self.memo, self.memo.old, self.tails, self.model
+        rest = []
+        for run in new:
+            ids = old.get(run)
+            if ids is None:
+                body = run.rstrip(_SIGNS)
+                if not body.isalpha() or not (body.isascii() or max(body) <= "ÿ"):
+                    rest.append(run)
+                    continue
+                ids = memo.get(body)
+                if ids is None:
+                    got = [t.id for t in model((" " + body if self.spaced else body.lower()).translate(self.bytes))]
+                    ids = _PACK[len(got)](*got) if len(got) < len(_PACK) else np.array(got, "<u4").tobytes()
+                if len(body) < len(run):
+                    ids += tails[run[len(body) :]]
+            memo[run] = ids
+        if self.spaced:
+            joined = [run for run in rest if run[0] not in "\n\r"]
+        else:
+            joined = [run for run in rest if (run.isascii() or run.strip(_SIGNS).isalpha()) and len(run.lower()) == len(run)]
+        for at in range(0, len(joined), 1024):
+            part = joined[at : at + 1024]
+            memo.update(zip(part, self.apart(part)))
+        alone = [run for run in rest if run not in memo]
+        memo.update(zip(alone, self.each(alone)))
+
+    def apart(self, runs: list[str]) -> list[bytes]:
+        ids = self.ids(" " * self.spaced + " ".join(runs))
         if self.spaced:
             starts = np.nonzero(self.blank[ids])[0]
             stops = np.append(starts[1:], len(ids))
@@ -105,14 +176,19 @@ class Encoder:
             ends = np.nonzero(self.ending[ids])[0] + 1
             last = np.cumsum([1 if run.isalpha() else len(_WORD_PARTS.findall(run.lower())) for run in runs]) - 1
             if last[-1] + 1 != len(ends):
-                return [self.whole(run) for run in runs]
+                return self.each(runs)
             stops = ends[last]
             starts = np.append(0, stops[:-1])
         if len(starts) != len(runs):
-            return [self.whole(run) for run in runs]
+            return self.each(runs)
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist())]
 
+    def each(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, each encoded on its own."""
+        asked = list(map(spelt, runs)) if self.spaced else runs
+        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(asked, add_special_tokens=False)]
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -129,8 +205,7 @@ class MergeCounter(Memo):
         spec = json.load(open(name if "/" in name else tokenizer_path(name), encoding="utf-8"))
         model = spec["model"]
         vocab = model["vocab"]
-        chars = _byte_chars()
-        self.first = [vocab[c] for c in chars]
+        self.first = [vocab[c] for c in _BYTE_CHARS]
         self.pairs: dict[int, tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
@@ -205,13 +280,6 @@ class MergeCounter(Memo):
         return sum(self.pieces(part) for part in self.special.split(text)) + len(self.special.findall(text))
 
 
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _COUNTERS: dict[str, MergeCounter] = {}
 

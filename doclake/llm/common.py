@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a per-worker memo may hold before its older half is forgotten.
@@ -60,6 +64,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have about ``size`` bytes; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    stops = np.cumsum(lengths.astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = stops[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(stops, before + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Memo(dict):
     """A dictionary for one worker that never holds more than two generations of ``limit`` entries.
 

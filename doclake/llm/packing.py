@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.llm.bpe import encoder
-from doclake.llm.common import stage
+from doclake.llm.common import stage, text_slices
 
 CAPACITY = 1024
 
@@ -104,17 +104,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
 
         enc, task, ranks = encoder(tokenizer, spaced), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in text_slices(batch, 1):
                 rows: list[tuple[int, int, int, int, int, int]] = []
-                for k, ids in enumerate(enc.encode(part.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
+                ids, counts = enc.encode(part.column(1))
+                data, stops = memoryview(ids.tobytes()), 4 * np.cumsum(counts)
+                for k, (a, b) in enumerate(zip((stops - 4 * counts).tolist(), stops.tolist())):
+                    own = bytes(data[a:b]) + end
+                    n = len(own) // 4
                     first = n % capacity or capacity
                     for piece, stop in enumerate(range(first, n + 1, capacity)):
                         start = max(0, stop - capacity) if piece else 0
                         length = stop - start
-                        rows.append((k, piece, start, length, zlib.crc32(ids[4 * start : 4 * stop]), ranks[length]))
+                        rows.append((k, piece, start, length, zlib.crc32(own[4 * start : 4 * stop]), ranks[length]))
                         ranks[length] += 1
                 k, piece, start, length, crc, rank = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, [task] * len(rows), rank))], out.names)

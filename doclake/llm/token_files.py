@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.llm.bpe import encoder
-from doclake.llm.common import partitions, scratch, stage
+from doclake.llm.common import partitions, scratch, stage, text_slices
 
 MAGIC = b"DLTOK001"
 BLOCK = 65_536
@@ -153,11 +153,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
 
         enc, out = encoder(tokenizer, spaced), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in text_slices(batch, 1):
                 out = out or _Writer(folder, TaskContext.get().partitionId(), bits)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
-                    out.add(doc_id, ids + end)
+                ids, counts = enc.encode(part.column(1))
+                data, stops = memoryview(ids.tobytes()), 4 * np.cumsum(counts)
+                for doc_id, a, b in zip(part.column(0).to_pylist(), (stops - 4 * counts).tolist(), stops.tolist()):
+                    out.add(doc_id, bytes(data[a:b]) + end)
         if out:
             yield out.close()
 
