@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import hashlib
 import ipaddress
 import re
@@ -168,29 +169,38 @@ class Pseudonyms:
         return "".join(c if c == " " else next(it) for c in text)
 
     DAYS = range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
-    #: Days after the twelfth: a date that can be read in one order only stays such a date.
-    LATE_DAYS = [d for d in DAYS if datetime.date.fromordinal(d).day > 12]
+
+    @functools.cache  # noqa: B019  at most eight lists, and one tool per key
+    def _days(self, short_day: bool, short_month: bool, late: bool) -> list[int]:
+        """Days whose day or month has one digit where it is written so, and comes after the twelfth if ``late``.
+
+        A date that can be read in one order only stays such a date.
+        """
+        days = ((d, datetime.date.fromordinal(d)) for d in self.DAYS)
+        return [d for d, x in days if not (short_day and x.day > 9 or short_month and x.month > 9 or late and x.day <= 12)]
 
     def _date(self, text: str, undo: bool) -> str | None:
         a, b, c = re.split(r"[./-]", text)
         mark = text[len(a)]
         if len(a) == 4:
-            order, days = "ymd", self.DAYS
+            order, late = "ymd", False
         elif mark == "/":
-            order, days = ("mdy", self.DAYS) if int(a) <= 12 else ("dmy", self.LATE_DAYS)
+            order, late = ("mdy", False) if int(a) <= 12 else ("dmy", True)
         else:
-            order, days = ("dmy", self.DAYS) if int(b) <= 12 else ("mdy", self.LATE_DAYS)
-        parts = dict(zip(order, map(int, (a, b, c))))
+            order, late = ("dmy", False) if int(b) <= 12 else ("mdy", True)
+        written = dict(zip(order, (a, b, c)))
+        parts = {k: int(x) for k, x in written.items()}
         try:
             day = datetime.date(parts["y"], parts["m"], parts["d"]).toordinal()
         except ValueError:
             return None
         if not self.DAYS[0] <= day <= self.DAYS[-1]:
             return None
-        at = self._permute(bisect.bisect_left(days, day), len(days), f"date{len(days)}", undo)
-        new = datetime.date.fromordinal(days[at])
+        kind = len(written["d"]) == 1, len(written["m"]) == 1, late
+        days = self._days(*kind)
+        new = datetime.date.fromordinal(days[self._permute(bisect.bisect_left(days, day), len(days), f"date{kind}", undo)])
         got = {"y": new.year, "m": new.month, "d": new.day}
-        return mark.join(f"{got[k]:0{len(old)}d}" for k, old in zip(order, (a, b, c)))
+        return mark.join(f"{got[k]:0{len(written[k])}d}" for k in order)
 
     def _ip(self, text: str, undo: bool) -> str | None:
         octets = list(map(int, text.split(".")))
@@ -292,4 +302,5 @@ def pseudonymise(docs: DataFrame, key: bytes = b"doclake", text_col: str = "text
                 columns.append(pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, out.names)
 
-    return docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]).mapInArrow(work, out)
+    numbered = [F.col(f"`{c}`").cast("string" if c == text_col else docs.schema[c].dataType).alias(f"c{k}") for k, c in enumerate(names)]
+    return docs.select(*numbered).mapInArrow(work, out)

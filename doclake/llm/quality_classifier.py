@@ -128,7 +128,9 @@ def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", sco
                     scores[k] += weights[at].sum() / np.sqrt(len(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], out.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(work, out)
+    # Numbered names, as a column of the documents may have any name.
+    numbered = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+    return docs.select(*numbered, F.col(text_col).cast("string").alias("text")).mapInArrow(work, out)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:

@@ -33,27 +33,28 @@ def with_base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint) and base_failed.
 
     Words are runs without ASCII white space; a null text has none. n_repeat_words counts the words that lie in five-word
-    windows found twice or more in the text, the first find included. Columns of these names in ``docs`` are replaced.
+    windows found twice or more in the text, the first find included. Columns of these names in ``docs`` are replaced;
+    only names that start with ``__doclake_`` are taken for work.
     """
-    first = docs.withColumns({"__text": _text(text_col)}).withColumn("__trim", F.trim("__text", F.lit(WHITE)))
-    words = first.withColumn("__hash", F.expr(rf"if(__trim = '', array(), transform(split(__trim, r'{_WS}'), w -> xxhash64(w)))"))
+    first = docs.withColumns({"__doclake_text": _text(text_col)}).withColumn("__doclake_trim", F.trim("__doclake_text", F.lit(WHITE)))
+    words = first.withColumn("__doclake_hash", F.expr(rf"if(__doclake_trim = '', array(), transform(split(__doclake_trim, r'{_WS}'), w -> xxhash64(w)))"))
     windows = words.withColumn(
-        "__win",
-        F.expr("if(size(__hash) < 5, cast(array() as array<bigint>), transform(sequence(0, size(__hash) - 5), i -> xxhash64(get(__hash, i), get(__hash, i + 1), get(__hash, i + 2), get(__hash, i + 3), get(__hash, i + 4))))"),
+        "__doclake_win",
+        F.expr("if(size(__doclake_hash) < 5, cast(array() as array<bigint>), transform(sequence(0, size(__doclake_hash) - 5), i -> xxhash64(get(__doclake_hash, i), get(__doclake_hash, i + 1), get(__doclake_hash, i + 2), get(__doclake_hash, i + 3), get(__doclake_hash, i + 4))))"),
     )
-    ordered = windows.withColumn("__sorted", F.expr("if(size(array_distinct(__win)) = size(__win), null, array_sort(transform(__win, (h, i) -> struct(h as h, i as i))))"))
-    found = ordered.withColumn("__at", F.expr("array_sort(filter(transform(__sorted, (x, k) -> if(get(__sorted, k - 1).h = x.h or get(__sorted, k + 1).h = x.h, x.i, null)), p -> p is not null))"))
-    lined = found.withColumn("__lines", F.expr(r"if(instr(__trim, '\n') = 0, array(), filter(split(__text, '\n', -1), x -> x rlike r'[^\x20\x09-\x0D]'))"))
+    ordered = windows.withColumn("__doclake_sorted", F.expr("if(size(array_distinct(__doclake_win)) = size(__doclake_win), null, array_sort(transform(__doclake_win, (h, i) -> struct(h as h, i as i))))"))
+    found = ordered.withColumn("__doclake_at", F.expr("array_sort(filter(transform(__doclake_sorted, (x, k) -> if(get(__doclake_sorted, k - 1).h = x.h or get(__doclake_sorted, k + 1).h = x.h, x.i, null)), p -> p is not null))"))
+    lined = found.withColumn("__doclake_lines", F.expr(r"if(instr(__doclake_trim, '\n') = 0, array(), filter(split(__doclake_text, '\n', -1), x -> x rlike r'[^\x20\x09-\x0D]'))"))
     counts = {
-        "n_words": F.expr("cast(size(__hash) as bigint)"),
-        "word_chars": F.expr(rf"cast(length(regexp_replace(__text, r'{_WS}', '')) as bigint)"),
-        "n_symbols": F.expr("cast(length(__text) - length(regexp_replace(__text, '[#*$%&|<>]+', '')) as bigint)"),
-        "n_dup_lines": F.expr("cast(size(__lines) - size(array_distinct(__lines)) as bigint)"),
-        "n_repeat_words": F.expr("coalesce(aggregate(__at, struct(0L as n, -5 as p), (a, x) -> struct(a.n + least(5, x - a.p) as n, x as p), a -> a.n), 0L)"),
+        "n_words": F.expr("cast(size(__doclake_hash) as bigint)"),
+        "word_chars": F.expr(rf"cast(length(regexp_replace(__doclake_text, r'{_WS}', '')) as bigint)"),
+        "n_symbols": F.expr("cast(length(__doclake_text) - length(regexp_replace(__doclake_text, '[#*$%&|<>]+', '')) as bigint)"),
+        "n_dup_lines": F.expr("cast(size(__doclake_lines) - size(array_distinct(__doclake_lines)) as bigint)"),
+        "n_repeat_words": F.expr("coalesce(aggregate(__doclake_at, struct(0L as n, -5 as p), (a, x) -> struct(a.n + least(5, x - a.p) as n, x as p), a -> a.n), 0L)"),
     }
-    counted = lined.withColumn("__counts", _once(F.struct(*[c.alias(n) for n, c in counts.items()]))).withColumns({n: F.col(f"__counts.{n}") for n in counts})
+    counted = lined.withColumn("__doclake_counts", _once(F.struct(*[c.alias(n) for n, c in counts.items()]))).withColumns({n: F.col(f"__doclake_counts.{n}") for n in counts})
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    return counted.withColumn("base_failed", failed).drop("__text", "__trim", "__hash", "__win", "__sorted", "__at", "__lines", "__counts")
+    return counted.withColumn("base_failed", failed).drop("__doclake_text", "__doclake_trim", "__doclake_hash", "__doclake_win", "__doclake_sorted", "__doclake_at", "__doclake_lines", "__doclake_counts")
 
 
 def _once(value: Column) -> Column:
@@ -66,14 +67,14 @@ def _once(value: Column) -> Column:
 
 
 def _with_buckets(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """``docs`` with ``__one``, the bucket of every piece, and ``__two``, that of every pair of neighbours."""
-    pieces = docs.withColumn("__h", F.expr(rf"transform(regexp_extract_all(coalesce(cast(`{text_col}` as string), ''), r'\p{{Ll}}+|[\p{{L}}&&[^\p{{Ll}}]]+|[^\p{{L}}\x20\x09-\x0D]+', 0), p -> xxhash64(p))"))
+    """``docs`` with ``__doclake_one``, the bucket of every piece, and ``__doclake_two``, that of every pair of neighbours."""
+    pieces = docs.withColumn("__doclake_h", F.expr(rf"transform(regexp_extract_all(coalesce(cast(`{text_col}` as string), ''), r'\p{{Ll}}+|[\p{{L}}&&[^\p{{Ll}}]]+|[^\p{{L}}\x20\x09-\x0D]+', 0), p -> xxhash64(p))"))
     return pieces.withColumns(
         {
-            "__one": F.expr(f"transform(__h, h -> cast(pmod(h, {buckets}) as int))"),
-            "__two": F.expr(f"if(size(__h) < 2, cast(array() as array<int>), transform(sequence(0, size(__h) - 2), i -> cast(pmod(xxhash64(get(__h, i), get(__h, i + 1)), {buckets}) as int)))"),
+            "__doclake_one": F.expr(f"transform(__doclake_h, h -> cast(pmod(h, {buckets}) as int))"),
+            "__doclake_two": F.expr(f"if(size(__doclake_h) < 2, cast(array() as array<int>), transform(sequence(0, size(__doclake_h) - 2), i -> cast(pmod(xxhash64(get(__doclake_h, i), get(__doclake_h, i + 1)), {buckets}) as int)))"),
         }
-    ).drop("__h")
+    ).drop("__doclake_h")
 
 
 def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> np.ndarray:
@@ -83,9 +84,9 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     lowest, so that their ids can be broadcast. Only ``buckets`` sums reach the driver. With no trusted text all weights
     are zero.
     """
-    chosen = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(trusted_docs)
-    marked = docs.select(F.col(id_col).alias("__id"), text_col).join(F.broadcast(chosen.withColumn("__good", F.lit(1))), "__id", "left")
-    grams = _with_buckets(marked, text_col, buckets).select(F.coalesce("__good", F.lit(0)).alias("good"), F.explode(F.concat("__one", "__two")).alias("bucket"))
+    chosen = trusted.select(F.col(id_col).alias("__doclake_id")).where("__doclake_id is not null").distinct().orderBy(F.xxhash64("__doclake_id"), "__doclake_id").limit(trusted_docs)
+    marked = docs.select(F.col(id_col).alias("__doclake_id"), text_col).join(F.broadcast(chosen.withColumn("__doclake_good", F.lit(1))), "__doclake_id", "left")
+    grams = _with_buckets(marked, text_col, buckets).select(F.coalesce("__doclake_good", F.lit(0)).alias("good"), F.explode(F.concat("__doclake_one", "__doclake_two")).alias("bucket"))
     counts = np.zeros((buckets, 2))
     for bucket, every, good in grams.groupBy("bucket").agg(F.count("*"), F.sum("good")).collect():
         counts[bucket] = every, good
@@ -97,10 +98,10 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
 def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` with ``llr``, the mean weight of all pieces and pairs of a text; 0 for a text without any."""
-    known = _with_buckets(docs, text_col, len(weights)).withColumn("__w", F.lit(np.asarray(weights, dtype=np.float64)))
-    total = "aggregate(__one, 0D, (s, b) -> s + get(__w, b)) + aggregate(__two, 0D, (s, b) -> s + get(__w, b))"
-    mean = F.expr(f"if(size(__one) = 0, 0D, ({total}) / (size(__one) + size(__two)))")
-    return known.withColumn("llr", _once(mean)).drop("__one", "__two", "__w")
+    known = _with_buckets(docs, text_col, len(weights)).withColumn("__doclake_w", F.lit(np.asarray(weights, dtype=np.float64)))
+    total = "aggregate(__doclake_one, 0D, (s, b) -> s + get(__doclake_w, b)) + aggregate(__doclake_two, 0D, (s, b) -> s + get(__doclake_w, b))"
+    mean = F.expr(f"if(size(__doclake_one) = 0, 0D, ({total}) / (size(__doclake_one) + size(__doclake_two)))")
+    return known.withColumn("llr", _once(mean)).drop("__doclake_one", "__doclake_two", "__doclake_w")
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
