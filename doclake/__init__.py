@@ -1 +1,5 @@
-"""Doclake: a Spark engine that prepares documents for retrieval and training."""
+"""Preparation of documents for retrieval, as DataFrame operators."""
+
+from doclake.config import CaptionSettings, ChunkSettings, Settings
+
+__all__ = ["CaptionSettings", "ChunkSettings", "Settings"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -36,3 +40,24 @@ def session(app: str = "doclake", master: str | None = None, **conf: str) -> Spa
     for key, value in (defaults | {k.replace("__", "."): str(v) for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return workers_see_package(builder.getOrCreate())
+
+
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where none is set (local runs)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="doclake-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet and read back: what follows neither parses again nor depends on executors that are gone."""
+    path = f"{shared_folder(df.sparkSession)}/doclake/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

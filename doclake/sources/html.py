@@ -35,8 +35,9 @@ class _Writer(HTMLParser):
         if tag in _DROPPED:
             self.dropped += 1
         if self.dropped:
-            if tag in _DROPPED or tag in _VOID:
-                return
+            if tag not in _VOID:
+                self.stack.append((tag, len(self.out), ""))
+            return
         if tag == "br":
             self.out.append("  \n" if not self.rows else "<br>")
         elif tag == "hr":

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.config import ChunkSettings, Settings
 from doclake.functions import images, names
 from doclake.functions.addresses import ipv4_private
 from doclake.functions.text import NOT_WS, WS, charset, escape_html, escape_md_cell
-from doclake.operators import chunking, cleaning, naming, routing, tables
+from doclake.operators import chunking, cleaning, metrics, naming, routing, tables, texts
+from doclake.plans import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -495,3 +497,56 @@ def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.json_table(*_sheets(spark, sf_dir))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as Markdown, as the breadth reader makes it."""
+    return texts.html_to_markdown(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "html")
+
+
+@query()
+def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and pages as sources: routed, read, cleaned and chunked; a row per result."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.encode("text", "UTF-8").alias("content"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.encode("html", "UTF-8").alias("content"))
+    results, _ = convert.run(docs.unionByName(pages), Settings(chunking=ChunkSettings(True)))
+    return results.select("source", "source_format", "engine", "status", "fallback_used", "chunk_count", "success")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, length(text) AS n FROM documents),
+     k AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 0 WHEN n <= 512 THEN 1 ELSE 1 + CAST(ceil((n - 512) / 448.0) AS BIGINT) END AS c FROM d)
+SELECT doc_id, CAST(c AS BIGINT) AS chunk_count, CASE WHEN c = 0 THEN 0 ELSE 1 END::DOUBLE AS coverage,
+       CASE WHEN c = 0 THEN 0 ELSE CAST((c - 1) * 64 AS DOUBLE) / n END AS redundancy FROM k"""
+)
+def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each text its chunks cover, and how much of it they hold more than once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return metrics.structure(docs, chunking.fixed_chunks(docs), "doc_id")
+
+
+@query(
+    """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k, event_type = 'purchase' AS hit FROM events),
+     t AS (SELECT user_id, count(*) FILTER (hit) AS total FROM r GROUP BY user_id)
+SELECT user_id, count(*) FILTER (hit AND k <= 5)::DOUBLE / total AS recall, coalesce(1.0 / min(k) FILTER (hit AND k <= 5), 0)::DOUBLE AS mrr,
+       coalesce(sum(1 / log2(k + 1)) FILTER (hit AND k <= 5), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(total, 5) + 1) x(i)) AS ndcg
+FROM r JOIN t USING (user_id) WHERE total > 0 GROUP BY user_id, total"""
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, reciprocal rank and gain at five; events stand for ranked answers, purchases for relevant ones."""
+    ranked = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "purchase").alias("relevant"), "value", "event_id")
+    return metrics.retrieval(ranked, "user_id", "relevant", [F.desc("value"), "event_id"], 5)
+
+
+@query(
+    SECTIONS
+    + """,
+     h AS (SELECT doc_id, a, header, length(regexp_extract(substr(text, a + 1, b - a), '\\A(#{1,6})', 1)) AS level FROM g),
+     t AS (SELECT doc_id, a, header, max(CASE WHEN level = 1 THEN a END) OVER (PARTITION BY doc_id ORDER BY a) AS at FROM h)
+SELECT t.doc_id, t.a AS start_index, t.header, coalesce(o.header, '') AS top_header FROM t LEFT JOIN h o ON o.doc_id = t.doc_id AND o.a = t.at"""
+)
+def heading_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last heading of the first level at or above each section, or nothing."""
+    crumbs = metrics.breadcrumbs(chunking.heading_chunks(markdown(spark, sf_dir)), "doc_id")
+    return crumbs.select("doc_id", "start_index", "header", F.coalesce(F.get("levels", F.lit(0)), F.lit("")).alias("top_header"))

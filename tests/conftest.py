@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
     made = session(
         "doclake-tests",
         "local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
         spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
