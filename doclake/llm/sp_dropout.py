@@ -9,7 +9,9 @@ up to ``variants`` ways across documents, always the same way for the same key,
 from __future__ import annotations
 
 import heapq
+import operator
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ from doclake.llm.common import Memo, tokenizer_path
 RATE = 0.1
 VARIANTS = 4
 _SPACE = "▁"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _MASK = (1 << 64) - 1
 
 
@@ -48,7 +51,7 @@ class Dropout:
         joined = "".join(p for p in (pieces[i] for i in plain) if len(p) > 1)
         self.parts = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|\n|[^{_SPACE}\n]+" if "\n" not in joined else f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
         self.limit, self.seed, self.variants = int(rate * (1 << 32)), seed, max(1, variants)
-        self.memos = [Memo(150_000) for _ in range(self.variants)]
+        self.memos = [Memo(1_200_000 // self.variants) for _ in range(self.variants)]
 
     def variant(self, doc_id: int | None) -> int:
         return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
@@ -61,11 +64,8 @@ class Dropout:
         score, limit = self.score, self.limit
         key = (zlib.crc32(part.encode()) << 32 | zlib.crc32(b"%d:%d" % (self.seed, variant))) & _MASK
         start, after, before = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            s = score.get(symbols[i] + symbols[i + 1])
-            if s is not None:
-                agenda.append((s, i, symbols[i] + symbols[i + 1]))
+        pairs = list(map(operator.add, symbols, symbols[1:]))
+        agenda = [(s, i, both) for i, (s, both) in enumerate(zip(map(score.get, pairs), pairs)) if s is not None]
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
         while agenda:
@@ -92,8 +92,12 @@ class Dropout:
         return [s for s in symbols if s]
 
     def part_ids(self, part: str, variant: int) -> bytes:
-        ids: list[int] = []
-        for symbol in self.merge(part, variant):
+        symbols = self.merge(part, variant)
+        ids: list[int] = list(map(self.ids.get, symbols))
+        if None not in ids and len(ids) < len(_PACK):
+            return _PACK[len(ids)](*ids)
+        ids = []
+        for symbol in symbols:
             got = self.ids.get(symbol)
             if got is not None:
                 ids.append(got)
