@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of the two multinomials; their weights are one array of this length.
 BUCKETS = 16_384
-#: Trusted documents that are counted at most: those whose ids hash lowest. Their ids are broadcast.
-TRUSTED_DOCS = 8_192
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.2
 #: Added to each bucket's count.
@@ -77,15 +75,17 @@ def _with_buckets(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     ).drop("__doclake_h")
 
 
-def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> np.ndarray:
+def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """log(p_trusted / p_corpus) of every bucket, as counted over all ``docs``.
 
-    ``trusted`` names trusted documents by ``id_col``; at most ``trusted_docs`` of them are used, those whose ids hash
-    lowest, so that their ids can be broadcast. Only ``buckets`` sums reach the driver. With no trusted text all weights
-    are zero.
+    ``trusted`` names trusted documents by ``id_col``; all of them are used, by a join whose kind Spark chooses by size.
+    Null ids are never trusted and stay out of that join. Only ``buckets`` sums reach the driver. With no trusted text all
+    weights are zero.
     """
-    chosen = trusted.select(F.col(id_col).alias("__doclake_id")).where("__doclake_id is not null").distinct().orderBy(F.xxhash64("__doclake_id"), "__doclake_id").limit(trusted_docs)
-    marked = docs.select(F.col(id_col).alias("__doclake_id"), text_col).join(F.broadcast(chosen.withColumn("__doclake_good", F.lit(1))), "__doclake_id", "left")
+    good = trusted.select(F.col(id_col).alias("__doclake_id")).where("__doclake_id is not null").distinct().withColumn("__doclake_good", F.lit(1))
+    texts = docs.select(F.col(id_col).alias("__doclake_id"), text_col)
+    named = texts.where("__doclake_id is not null").join(good, "__doclake_id", "left")
+    marked = named.unionByName(texts.where("__doclake_id is null").withColumn("__doclake_good", F.lit(0)))
     grams = _with_buckets(marked, text_col, buckets).select(F.coalesce("__doclake_good", F.lit(0)).alias("good"), F.explode(F.concat("__doclake_one", "__doclake_two")).alias("bucket"))
     counts = np.zeros((buckets, 2))
     for bucket, every, good in grams.groupBy("bucket").agg(F.count("*"), F.sum("good")).collect():
@@ -104,12 +104,12 @@ def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
     return known.withColumn("llr", _once(mean)).drop("__doclake_one", "__doclake_two", "__doclake_w")
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with the base counts, ``llr`` and ``kept``.
 
     kept: false where base_failed, otherwise whether llr >= threshold. Null and empty texts have no words and so fail; null
     ids are scored like any other; repeated rows get the same verdict; an empty table stays empty.
     """
-    weights = fit_weights(docs, trusted, id_col, text_col, buckets, trusted_docs)
+    weights = fit_weights(docs, trusted, id_col, text_col, buckets)
     scored = with_score(with_base_counts(docs, text_col), weights, text_col)
     return scored.withColumn("kept", F.expr(f"not base_failed and llr >= {threshold!r}D"))

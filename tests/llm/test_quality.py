@@ -77,6 +77,18 @@ def test_rules_on_odd_rows(spark, odd_documents, no_documents):
     assert all(r.llr == 0 for r in nobody)
 
 
+def test_all_trusted_documents_count(spark):
+    """More of them than any fixed number of ids: each has a word of its own, and a null id is never trusted."""
+    n, buckets = 9_000, 1 << 20
+    rows = [(i, f"w{chr(97 + i % 26)} {i}") for i in range(n)] + [(None, "nameless"), (n, "distrusted")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = quality_rules.fit_weights(docs, spark.createDataFrame([(i,) for i in [*range(n), None]], "doc_id long"), buckets=buckets)
+    every = np.bincount([b for _, t in rows for b in buckets_of(t, buckets)], minlength=buckets)
+    good = np.bincount([b for i, t in rows if i is not None and i < n for b in buckets_of(t, buckets)], minlength=buckets)
+    want = np.log((good + 1) / (good.sum() + buckets)) - np.log((every + 1) / (every.sum() + buckets))
+    assert np.abs(weights - want).max() < 1e-12
+
+
 def test_repeats_and_lines(spark):
     texts = ["a b c d e a b c d e", "a a a a a a", "x\ny\nx\n\n\nx ", "l1\nl1\nl2", "a b c d e f a b c d e g h i j k l m n o p q r s t u v w x y z aa bb cc"]
     rows = quality_rules.with_base_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
