@@ -1,13 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A text is normalised by the model and cut where no piece can cross. Each cut part is merged by an agenda: candidate pairs
-by falling score, leftmost first. A candidate that comes up is skipped for good when a keyed hash of the part, its span and
-the variant falls below the dropout rate. Documents are dealt to variants by a keyed hash of their id, so a word is cut in
-up to ``variants`` ways across documents, always the same way for the same key, id and text. Decoding joins pieces again.
+by falling score, leftmost first. A candidate that comes up is skipped for good when a keyed hash of the document's id, the
+part's place in the text and the candidate's turn in the agenda falls below the dropout rate. So every occurrence of a word
+is cut on its own, and always the same way for the same key, id and text. Merging is a function of the part and of which
+turns are skipped; only that function is remembered, as a tree of decisions. Decoding joins pieces again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import operator
 import re
@@ -19,21 +21,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from doclake.llm.common import Memo, tokenizer_path
+from doclake.llm.common import tokenizer_path
 
 RATE = 0.1
-VARIANTS = 4
+#: Parts and dropped results that a worker remembers, in each of two generations.
+REMEMBERED = 500_000
+#: Turns of the agenda whose decisions are drawn at once; later ones are drawn one by one and their results not remembered.
+TURNS = 32
+_FIRST, _NEXT = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _SPACE = "▁"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _MASK = (1 << 64) - 1
 
 
+def _mix(x):
+    """The finaliser of splitmix64, of one number or an array of them."""
+    if isinstance(x, int):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+        return x ^ x >> 31
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 class Dropout:
     """Encoder and decoder for one model and key; ``rate`` 0 gives the model's own segmentation."""
 
-    def __init__(self, model: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, model: str, rate: float = RATE, seed: int = 0):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model if "/" in model else tokenizer_path(model))
@@ -50,19 +67,39 @@ class Dropout:
             raise ValueError("pieces that go on after a word's start aren't supported")
         joined = "".join(p for p in (pieces[i] for i in plain) if len(p) > 1)
         self.parts = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|\n|[^{_SPACE}\n]+" if "\n" not in joined else f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
-        self.limit, self.seed, self.variants = int(rate * (1 << 32)), seed, max(1, variants)
-        self.memos = [Memo(1_200_000 // self.variants) for _ in range(self.variants)]
+        self.limit, self.seed = int(rate * (1 << 32)), seed
+        self.memo: dict[str, list] = {}
+        self.old: dict[str, list] = {}
+        self.leaves = 0
 
     def variant(self, doc_id: int | None) -> int:
-        return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
-
-    def merge(self, part: str, variant: int) -> list[str]:
+        """The document's own key, of 63 bits."""
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc_id}".encode(), digest_size=8).digest(), "big") >> 1
+
+    def base(self, variant: int, place: int) -> int:
+        """What the draws of the part at one place of a text start from."""
+        return _mix((_mix((self.seed & _MASK) ^ _FIRST) ^ variant & _MASK) + (place + 1) * _FIRST & _MASK)
+
+    def skipped(self, base: int, turn: int) -> bool:
+        return _mix(base + (turn // 2 + 1) * _NEXT & _MASK) >> 32 * (turn % 2) & 0xFFFFFFFF < self.limit
+
+    def masks(self, variant: int, start: int, n: int) -> list[int]:
+        """For n parts from a place on, which of the first TURNS turns are skipped, a bit each; the bit after them is set."""
+        if not self.limit:
+            return [0] * n
+        own = np.uint64(_mix((self.seed & _MASK) ^ _FIRST) ^ variant & _MASK)
+        base = _mix(own + np.arange(start + 1, start + n + 1, dtype=np.uint64) * np.uint64(_FIRST))
+        draws = _mix(base[:, None] + np.arange(1, TURNS // 2 + 1, dtype=np.uint64) * np.uint64(_NEXT)).astype("<u8", copy=False).view("<u4")
+        bits = draws <= np.uint32(min(self.limit, 1 << 32) - 1)
+        return (np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64) | 1 << TURNS).tolist()
+
+    def merge(self, part: str, mask: int = 0, base: int | None = None) -> tuple[list[str], int]:
+        """The part's pieces and how many turns the agenda took; without ``base`` no turn is skipped."""
         symbols: list[str] = list(part)
-        n = len(symbols)
+        n, turn = len(symbols), 0
         if n < 2:
-            return symbols
-        score, limit = self.score, self.limit
-        key = (zlib.crc32(part.encode()) << 32 | zlib.crc32(b"%d:%d" % (self.seed, variant))) & _MASK
+            return symbols, 0
+        score = self.score
         start, after, before = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
         pairs = list(map(operator.add, symbols, symbols[1:]))
         agenda = [(s, i, both) for i, (s, both) in enumerate(zip(map(score.get, pairs), pairs)) if s is not None]
@@ -73,10 +110,9 @@ class Dropout:
             j = after[i]
             if j >= n or not symbols[i] or len(symbols[i]) + len(symbols[j]) != len(both):
                 continue
-            if limit:
-                x = ((key ^ (i << 20 | len(both)) * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93) & _MASK
-                if (x ^ x >> 32) * 0xD6E8FEB86659FD93 >> 32 & 0xFFFFFFFF < limit:
-                    continue
+            turn += 1
+            if base is not None and (mask >> turn - 1 & 1 if turn <= TURNS else self.skipped(base, turn - 1)):
+                continue
             symbols[i], symbols[j] = both, ""
             k = after[i] = after[j]
             if k < n:
@@ -89,10 +125,9 @@ class Dropout:
                 s = score.get(symbols[h] + both)
                 if s is not None:
                     push(agenda, (s, h, symbols[h] + both))
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], turn
 
-    def part_ids(self, part: str, variant: int) -> bytes:
-        symbols = self.merge(part, variant)
+    def packed(self, symbols: list[str]) -> bytes:
         ids: list[int] = list(map(self.ids.get, symbols))
         if None not in ids and len(ids) < len(_PACK):
             return _PACK[len(ids)](*ids)
@@ -110,20 +145,47 @@ class Dropout:
     def normalise(self, texts: list[str]) -> list[str]:
         return self.sp.normalize(texts)
 
+    def learn(self, part: str) -> list:
+        """[the turns that the part takes when none is skipped as bits, its ids then, tree of decisions for the others]."""
+        got = self.old.get(part)
+        if got is None:
+            symbols, turns = self.merge(part)
+            got = [-1 if self.limit and turns > TURNS else (1 << turns) - 1, self.packed(symbols), None]
+        self.memo[part] = got = [got[0], got[1], None]
+        return got
+
+    def dropped(self, known: list, part: str, mask: int, base: int) -> bytes:
+        """Ids of a part of which some turn is skipped, or that takes more turns than the mask has."""
+        node, rest = known[2], mask
+        while type(node) is list:
+            node, rest = node[rest & 1], rest >> 1
+        if node is not None:
+            return node
+        symbols, turns = self.merge(part, mask, base)
+        ids = self.packed(symbols)
+        if known[0] >= 0 and turns <= TURNS:
+            node = known[2] = known[2] or [None, None]
+            for turn in range(turns - 1):
+                side = mask >> turn & 1
+                if node[side] is None:
+                    node[side] = [None, None]
+                node = node[side]
+            node[mask >> turns - 1 & 1] = ids
+            self.leaves += 1
+        return ids
+
     def encode_normal(self, text: str, variant: int) -> bytes:
         """Ids, as u32 bytes, of a normalised text."""
-        memo = self.memos[variant]
-        memo.room()
         parts = self.parts.findall(text)
-        ids = list(map(memo.get, parts))
-        if None in ids:
-            old = memo.old
-            for k, known in enumerate(ids):
-                if known is None:
-                    part = parts[k]
-                    known = memo.get(part) or old.get(part) or self.part_ids(part, variant)
-                    ids[k] = memo[part] = known
-        return b"".join(ids)
+        out: list[bytes] = []
+        for start in range(0, len(parts), 65_536):
+            if len(self.memo) + self.leaves >= REMEMBERED:
+                self.old, self.memo, self.leaves = self.memo, {}, 0
+            get, some = self.memo.get, parts[start : start + 65_536]
+            for place, (part, mask) in enumerate(zip(some, self.masks(variant, start, len(some))), start):
+                known = get(part) or self.learn(part)
+                out.append(self.dropped(known, part, mask, self.base(variant, place)) if mask & known[0] else known[1])
+        return b"".join(out)
 
     def encode(self, text: str | None, variant: int = 0) -> list[int]:
         if not text:
@@ -147,19 +209,20 @@ def dropout(*args) -> Dropout:
     return _DROPOUTS[args]
 
 
-def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", rate: float = RATE, seed: int = 0, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id, variant, n_tokens, ids_crc32, lossless) of every row, and the ids as u32 bytes if asked for.
 
     lossless tells whether the ids decode to the whole normalised text again; it can only be false for a model that lacks
-    bytes as pieces. Null and empty texts have no ids and are lossless; a null id has a variant of its own. No shuffle.
+    bytes as pieces. variant is the key that the document's id gives its draws. Null and empty texts have no ids and are
+    lossless; a null id has a variant of its own. No shuffle.
     """
     from pyspark.sql.types import BinaryType
 
-    fields = [StructField("id", docs.schema[id_col].dataType), StructField("variant", IntegerType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType()), StructField("lossless", BooleanType())]
+    fields = [StructField("id", docs.schema[id_col].dataType), StructField("variant", LongType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType()), StructField("lossless", BooleanType())]
     out = StructType(fields + [StructField("ids", BinaryType())] * with_ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = dropout(model, rate, seed, variants)
+        tool = dropout(model, rate, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -167,7 +230,7 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", rate:
                 normal = tool.normalise([t or "" for t in part.column(1).to_pylist()])
                 ids = [tool.encode_normal(t, v) if t else b"" for t, v in zip(normal, which)]
                 whole = [tool.decode_normal(i) == t for i, t in zip(ids, normal)]
-                columns = [part.column(0), pa.array(which, pa.int32()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(whole)]
+                columns = [part.column(0), pa.array(which, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, out.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, out)
@@ -178,7 +241,7 @@ def decode_documents(encoded: DataFrame, model: str = "piece_bpe_32k.model") ->
     out = StructType([encoded.schema["id"], StructField("text", StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = dropout(model, 0.0, 0, 1)
+        tool = dropout(model, 0.0, 0)
         for batch in batches:
             texts = [None if b is None else tool.decode_normal(b).replace(_SPACE, " ").removeprefix(" ") for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])

@@ -42,6 +42,30 @@ def test_variants_and_seeds_differ():
     assert none == [LIBRARY.piece_to_id(c) for c in "▁jumping"]
 
 
+def test_every_occurrence_is_cut_on_its_own():
+    """One word, many times in one text and at one place in many documents, takes many more than four forms."""
+    word, n = "▁remarkably", 400
+    tool = sp_dropout.Dropout(MODEL, 0.3, 11)
+    skips = lambda doc, place: tool.packed(tool.merge(word, tool.masks(doc, place, 1)[0], tool.base(doc, place))[0])
+    inside = [skips(5, k) for k in range(n)]
+    assert tool.encode_normal(word * n, 5) == b"".join(inside)
+    across = [tool.encode_normal(word, tool.variant(i)) for i in range(n)]
+    assert len(set(inside)) > 8 and len(set(across)) > 8
+
+
+def test_draws_are_the_same_in_bulk_and_alone():
+    tool = sp_dropout.Dropout(MODEL, 0.3, 11)
+    masks = tool.masks(77, 3, 50)
+    for k, mask in enumerate(masks):
+        base = tool.base(77, 3 + k)
+        assert [mask >> t & 1 for t in range(sp_dropout.TURNS)] == [int(tool.skipped(base, t)) for t in range(sp_dropout.TURNS)]
+    share = sum((m & 0xFFFFFFFF).bit_count() for m in tool.masks(1, 0, 20_000)) / (20_000 * sp_dropout.TURNS)
+    assert abs(share - 0.3) < 0.005
+    long = "▁" + "international" * 20
+    assert tool.merge(long)[1] > sp_dropout.TURNS
+    assert len({tool.encode_normal(long, v) for v in range(20)}) == 20
+
+
 def test_op3_is_lossless(spark, sf_dir, documents):
     got = {r.doc_id: r for r in op3_sentencepiece_dropout(spark, sf_dir).collect()}
     tool = sp_dropout.Dropout(MODEL, 0.1, 7)
