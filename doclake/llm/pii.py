@@ -14,6 +14,7 @@ import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,6 +142,8 @@ class Pseudonyms:
 
     def value(self, kind: str, text: str, undo: bool = False) -> str | None:
         """The pseudonym of a value, or None if it isn't a valid one of its kind."""
+        if kind != "email" and not text.isascii():  # decimal digits of any script count as digits
+            text = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
         return getattr(self, f"_{kind}")(text, undo)
 
     def _email(self, text: str, undo: bool) -> str | None:
@@ -262,7 +265,7 @@ class Pseudonyms:
 
 
 #: No kind can be found in a text without one of these.
-_HINT = re.compile(r"[0-9@]|sk-|xox|(?i:token|secret|passw|api[_-]?key|access[_-]?key|auth)")
+_HINT = re.compile(r"[\d@]|sk-|xox|gh[pousr]_|A[KS]IA|[a-f]{32}|(?i:token|secret|passw|api[_-]?key|access[_-]?key|auth)")
 _PSEUDONYMS: dict[bytes, Pseudonyms] = {}
 
 

@@ -89,3 +89,20 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert pii.pseudonymise(no_documents, b"k").collect() == []
     long = "x " * 200_000 + "4111111111111111"
     assert pii.pseudonymise(spark.createDataFrame([(1, long)], "doc_id long, text string"), b"k").first().n_replaced == 1
+
+
+@given(st.data())
+@settings(max_examples=200, deadline=None)
+def test_every_pattern_implies_the_hint(data):
+    kind = data.draw(st.sampled_from(pii.Pseudonyms.KINDS))
+    pattern = re.compile(re.sub(r"\(\?<?![^()]*(?:\([^()]*\))?[^()]*\)", "", pii.Pseudonyms.PATTERNS[kind]))
+    assert pii._HINT.search(data.draw(st.from_regex(pattern, fullmatch=True)))
+
+
+def test_values_without_ascii_digits_are_found(spark):
+    digits = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    values = ["ghp_" + "abcdefghij" * 3, "AKIA" + "ABCDEFGH" * 2, "ASIA" + "ABCDEFGH" * 2, "abcdefab" * 4]
+    values += ["2021-02-28".translate(digits), "4111111111111111".translate(digits), "415-555-2671".translate(digits)]
+    rows = pii.pseudonymise(spark.createDataFrame([(f"see {v} there",) for v in values], "text string")).collect()
+    assert [r.n_replaced for r in rows] == [1] * len(values)
+    assert not any(v in r.text for v, r in zip(values, rows))
