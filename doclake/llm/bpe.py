@@ -101,7 +101,6 @@ class Encoder:
 
         Runs are made distinct first, so the memo is asked once for each of them.
         """
-        self.memo.room()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         plain = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
@@ -125,23 +124,26 @@ class Encoder:
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         coded = runs.dictionary_encode()
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        memo = self.memo
-        ids = list(map(memo.get, words))
+        ids = list(map(self.memo.get, words))
         if None in ids:
-            self.learn([word for word, known in zip(words, ids) if known is None])
-            ids = [memo[word] if known is None else known for word, known in zip(words, ids)]
+            new = self.learn([word for word, known in zip(words, ids) if known is None])
+            ids = [new[word] if known is None else known for word, known in zip(words, ids)]
+            keep = self.memo.keep
+            for word, known in new.items():
+                keep(word, known)
         flat = np.frombuffer(b"".join(ids), "<u4")
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         per_run = lengths[codes]
         return flat[spans((np.cumsum(lengths) - lengths)[codes], per_run)], per_run
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of runs that aren't remembered.
 
         A word of plain letters, with or without signs behind it, goes to the model itself, as its normal form is known.
         Of the others, many are encoded as one text and cut apart again where the next one starts.
         """
-        memo, old, tails, model = self.memo, self.memo.old, self.tails, self.model
+        found: dict[str, bytes] = {}
+        old, tails, model = self.memo.old, self.tails, self.model
         rest = []
         for run in new:
             ids = old.get(run)
@@ -150,22 +152,27 @@ class Encoder:
                 if not body.isalpha() or not (body.isascii() or max(body) <= "ÿ"):
                     rest.append(run)
                     continue
-                ids = memo.get(body)
+                ids = found.get(body)
                 if ids is None:
                     got = [t.id for t in model((" " + body if self.spaced else body.lower()).translate(self.bytes))]
                     ids = _PACK[len(got)](*got) if len(got) < len(_PACK) else np.array(got, "<u4").tobytes()
                 if len(body) < len(run):
                     ids += tails[run[len(body) :]]
-            memo[run] = ids
+            found[run] = ids
         if self.spaced:
             joined = [run for run in rest if run[0] not in "\n\r"]
         else:
             joined = [run for run in rest if (run.isascii() or run.strip(_SIGNS).isalpha()) and len(run.lower()) == len(run)]
         for at in range(0, len(joined), 1024):
             part = joined[at : at + 1024]
-            memo.update(zip(part, self.apart(part)))
-        alone = [run for run in rest if run not in memo]
-        memo.update(zip(alone, self.each(alone)))
+            found.update(zip(part, self.apart(part)))
+        alone = [run for run in rest if run not in found]
+        found.update(zip(alone, self.each(alone)))
+        return found
+
+    def forget(self) -> None:
+        self.memo.forget()
+        self.tails.clear()
 
     def apart(self, runs: list[str]) -> list[bytes]:
         ids = self.ids(" " * self.spaced + " ".join(runs))
@@ -258,7 +265,7 @@ class MergeCounter(Memo):
                 n = words.old.get(piece)
                 if n is None:
                     n = self.merged(piece.encode("utf-8", "surrogatepass"))
-                words[piece] = n
+                words.keep(piece, n)
             total += n
         return total
 
@@ -266,14 +273,16 @@ class MergeCounter(Memo):
         n = self.old.get(run)
         if n is None:
             n = self.pieces(spelt(run))
-        self[run] = n
+        self.keep(run, n)
         return n
 
+    def forget(self) -> None:
+        super().forget()
+        self.words.forget()
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        self.room()
-        self.words.room()
         words = plain_words(text)
         if words:
             return sum(map(self.__getitem__, marked(text, words)))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -12,33 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries a per-worker memo may hold before its older half is forgotten.
-MEMO_ENTRIES = 500_000
+from doclake.session import shared_folder
 
-_OWN_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where none is set (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(tempfile.mkdtemp(prefix="doclake-"))
-        atexit.register(_clean_own_root)
-    return "file://" + _OWN_ROOT[0]
-
-
-def _clean_own_root() -> None:
-    import shutil
-
-    for path in _OWN_ROOT:
-        shutil.rmtree(path, ignore_errors=True)
+#: Entries that one generation of a memo may hold, and the longest key it takes: at most some 0.7 KB an entry, 0.2 typically.
+MEMO_ENTRIES = 100_000
+MEMO_KEY = 64
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path for one written table below the shared folder."""
-    return f"{shared_root(spark)}/doclake/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/doclake/{tag}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -64,7 +48,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose texts have about ``size`` bytes; a longer text is a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     stops = np.cumsum(lengths.astype(np.int64))
@@ -77,20 +61,39 @@ def text_slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iter
 
 
 class Memo(dict):
-    """A dictionary for one worker that never holds more than two generations of ``limit`` entries.
+    """A dictionary for one task that never holds more than two generations of ``limit`` entries.
 
-    ``old`` keeps the previous generation: hot keys move forward when they are met again.
+    ``old`` keeps the previous generation: hot keys move forward when they are met again. Long keys aren't taken, so that
+    the bound on entries is one on bytes.
     """
 
     def __init__(self, limit: int = MEMO_ENTRIES):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def room(self) -> None:
-        """Call between batches: starts a new generation once this one is full."""
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+    def keep(self, key: str, value: object) -> None:
+        if len(key) <= MEMO_KEY:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+@contextlib.contextmanager
+def released(tool) -> Iterator:
+    """``tool`` for one task; afterwards its memos are empty, and the worker, which may idle for long, gives memory back."""
+    try:
+        yield tool
+    finally:
+        tool.forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def plain_words(text: str) -> list[str] | None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.llm.bpe import encoder
-from doclake.llm.common import partitions, scratch, stage, text_slices
+from doclake.llm.common import partitions, released, scratch, stage, text_slices
 
 MAGIC = b"DLTOK001"
 BLOCK = 65_536
@@ -140,27 +140,28 @@ class _Writer:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", spaced: bool = False, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", bits: bool = False) -> DataFrame:
     """Writes every document's ids, then ``end_id``, in ascending id order, and returns the staged chunk index.
 
-    Documents are range-partitioned by id and, among equal ids, by a hash of the text, so that one frequent id doesn't fill
-    one task. Null texts count as empty; null ids come first; an empty table gives an empty index.
+    Documents are range-partitioned by id and, among equal ids, by a hash of the text and then by row, so that neither a
+    frequent id nor a row that is repeated often fills one task. Null texts count as empty; null ids come first; an empty table gives an empty index.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("salt", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions(spark), "id", "salt").sortWithinPartitions("id", "salt").select("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumns({"salt": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(partitions(spark), "id", "salt", "row").sortWithinPartitions("id", "salt", "row").select("id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, out = encoder(tokenizer, spaced), None
-        for batch in batches:
-            for part in text_slices(batch, 1):
-                out = out or _Writer(folder, TaskContext.get().partitionId(), bits)
-                ids, counts = enc.encode(part.column(1))
-                data, stops = memoryview(ids.tobytes()), 4 * np.cumsum(counts)
-                for doc_id, a, b in zip(part.column(0).to_pylist(), (stops - 4 * counts).tolist(), stops.tolist()):
-                    out.add(doc_id, bytes(data[a:b]) + end)
-        if out:
-            yield out.close()
+        out = None
+        with released(encoder(tokenizer, spaced)) as enc:
+            for batch in batches:
+                for part in text_slices(batch, 1):
+                    out = out or _Writer(folder, TaskContext.get().partitionId(), bits)
+                    ids, counts = enc.encode(part.column(1))
+                    data, stops = memoryview(ids.tobytes()), 4 * np.cumsum(counts)
+                    for doc_id, a, b in zip(part.column(0).to_pylist(), (stops - 4 * counts).tolist(), stops.tolist()):
+                        out.add(doc_id, bytes(data[a:b]) + end)
+            if out:
+                yield out.close()
 
     return stage(rows.mapInArrow(work, "shard int, chunk int, path string, offset long, length long, docs long, tokens long"), "token-index")
 
