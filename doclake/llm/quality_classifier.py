@@ -1,9 +1,10 @@
 """Quality classifier: hashed word n-grams, logistic regression, follow-the-regularised-leader updates.
 
-Words are cut into runs of lower-case letters, runs of other letters and runs of other signs; a piece gives one hashed
-feature, a pair of neighbours another, and a word that equals the one before it a third, which tells repeated words of any
-kind. A feature's value is its count over the square root of all counts. Training sees a bounded sample of labelled rows
-in one task, in a fixed order; scoring is a sparse dot product per document and reads nothing but its text.
+A text's words are its runs of letters and digits and its runs of other signs. Each word gives a hashed feature, each pair
+of neighbours another, and a pair of equal words between white space one more that all such pairs share, since no text
+repeats the very words that another one does. A feature's value is its count over the square root of all counts. Training
+sees a bounded sample of labelled rows in one task, in a fixed order; scoring is a sparse dot product per document and
+reads nothing but its text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from doclake.llm.common import Memo
+from doclake.llm.common import text_slices
 
 #: Hashed features are this many; the last slot is the bias.
 DIMENSIONS = 1 << 18
@@ -26,28 +27,23 @@ DIMENSIONS = 1 << 18
 TRAIN_ROWS = 8_192
 EPOCHS = 3
 
-_PIECE = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+|[A-ZÀ-ÖØ-Þ]+|[^\w\s]+|[\d_]+")
+_WORD = re.compile(r"\w+|[^\w\s]+")
 _SAME = zlib.crc32(b"\0same word")
 
 
-class Features(Memo):
-    """Hashes of words' pieces; one per worker."""
+def indices(text: str | None, same: bool = True) -> np.ndarray:
+    """The feature of every word, pair and, with ``same``, repeated word of a text, with repeats; empty for empty and null texts."""
+    if not text:
+        return np.empty(0, np.int64)
+    words = np.fromiter(map(zlib.crc32, map(_bytes, _WORD.findall(text))), np.uint64)
+    pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+    runs = text.split() if same else []
+    repeats = np.full(sum(map(str.__eq__, runs, runs[1:])), _SAME, np.uint64)
+    return (np.concatenate([words, pairs, repeats]) % np.uint64(DIMENSIONS - 1)).astype(np.int64)
 
-    def __missing__(self, word: str) -> list[int]:
-        got = self.old.get(word)
-        if got is None:
-            got = [zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in _PIECE.findall(word)]
-        self[word] = got
-        return got
 
-    def indices(self, text: str | None) -> np.ndarray:
-        """The feature of every piece, pair and repeated word of a text, with repeats; empty for empty and null texts."""
-        self.room()
-        words = (text or "").split()
-        pieces = np.array([h for w in map(self.__getitem__, words) for h in w], np.uint64)
-        pairs = (pieces[:-1] * np.uint64(0x9E3779B97F4A7C15) + pieces[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
-        same = sum(map(str.__eq__, words, words[1:]))
-        return (np.concatenate([pieces, pairs, np.full(same, _SAME, np.uint64)]) % np.uint64(DIMENSIONS - 1)).astype(np.int64)
+def _bytes(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
 
 
 class Ftrl:
@@ -86,11 +82,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Features()
         for batch in batches:
-            for k in range(batch.num_rows):
-                at, n = np.unique(made.indices(batch.column(1)[k].as_py()), return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), pa.array([at.astype("<i4").tobytes()]), pa.array([n.astype("<i4").tobytes()])], ["id", "y", "at", "n"])
+            for part in text_slices(batch, 1):
+                found = [np.unique(indices(t.as_py()), return_counts=True) for t in part.column(1)]
+                at, n = ([x[k].astype("<i4").tobytes() for x in found] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["id", "y", "at", "n"])
 
     kind = StructType([StructField("id", docs.schema[id_col].dataType), StructField("y", DoubleType())])
     made = texts.select("id", "text", "y").mapInArrow(features, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", at binary, n binary")
@@ -102,28 +98,32 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             for y, at, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 n = np.frombuffer(n, "<i4").astype(np.float64)
                 rows.append((np.append(np.frombuffer(at, "<i4"), DIMENSIONS - 1), np.append(n / np.sqrt(max(n.sum(), 1)), 1.0), y))
-        model = Ftrl(DIMENSIONS)
-        for _ in range(epochs):
-            for row in rows:
-                model.learn(*row)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], ["w"])
+            yield pa.RecordBatch.from_arrays([pa.array([learnt(rows, epochs).astype("<f8").tobytes()], pa.binary())], ["w"])
 
     found = sample.mapInArrow(fit, "w binary").collect()
     return np.frombuffer(found[0].w, "<f8") if found else np.zeros(DIMENSIONS)
 
 
+def learnt(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS) -> np.ndarray:
+    """The weights after ``epochs`` passes over (places, values, label) in the order given."""
+    model = Ftrl(DIMENSIONS)
+    for _ in range(epochs):
+        for row in rows:
+            model.learn(*row)
+    return model.weights()
+
+
 def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score`` from 0 to 1, made from each whole text alone; empty and null texts get the bias's score."""
     names = [c for c in docs.columns if c != score_col]
     out = StructType([*(docs.schema[c] for c in names), StructField(score_col, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Features()
         for batch in batches:
             scores = np.full(batch.num_rows, weights[DIMENSIONS - 1])
             for k, text in enumerate(batch.column(len(names))):
-                at = made.indices(text.as_py())
+                at = indices(text.as_py())
                 if len(at):
                     scores[k] += weights[at].sum() / np.sqrt(len(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], out.names)

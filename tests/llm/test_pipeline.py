@@ -37,7 +37,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     weights = quality_classifier.train(source, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = set()
     for r in rows:
-        x = np.bincount(quality_classifier.Features().indices(r["text"]), minlength=len(weights)).astype(float)
+        x = np.bincount(quality_classifier.indices(r["text"]), minlength=len(weights)).astype(float)
         x /= max(math.sqrt(x.sum()), 1e-300)
         x[-1] = 1
         if 1 / (1 + math.exp(-weights @ x)) >= 0.3:

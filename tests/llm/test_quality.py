@@ -126,7 +126,7 @@ def test_scores_equal_a_dense_product(spark, documents):
     rows = [(d["doc_id"], d["text"]) for d in documents[:40]]
     got = quality_classifier.with_score(spark.createDataFrame(rows, "doc_id long, text string"), weights).collect()
     for r in got:
-        x = np.bincount(quality_classifier.Features().indices(r.text), minlength=quality_classifier.DIMENSIONS).astype(float)
+        x = np.bincount(quality_classifier.indices(r.text), minlength=quality_classifier.DIMENSIONS).astype(float)
         x /= max(np.sqrt(x.sum()), 1e-300)
         x[-1] = 1
         assert abs(r.score - 1 / (1 + math.exp(-max(-35, min(35, weights @ x))))) < 1e-9
