@@ -1,28 +1,41 @@
 """Line rules that leave code alone: page markers, blank runs, spaces and repeated lines.
 
-Texts become rows of lines; each rule is a filter or a window over a text's lines, all partitioned by the text's key, so
-one shuffle serves them all. A run is decided by its first line: what follows in a run of equal candidates goes, unless both
-are code. Blank and repeated lines are judged after the rules before have removed theirs.
+All rules are local to a text, so each text is cleaned in one pass over its lines, in Arrow batches: nothing is shuffled and
+no key is needed. A run is decided by its first line: what follows in a run of equal candidates goes, unless both are code.
+Blank and repeated lines are judged after the rules before have removed theirs.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from doclake.functions.text import WS, is_blank, rstrip, strip
-
-FENCE = rf"\A{WS}*(?:`{{3}}|~{{3}})"
-INDENTED = r"\A[ \t]{4}"
-PAGE_MARKERS = (
-    r"\A\[\p{Nd}+\]\z",
-    rf"\A第{WS}*\p{{Nd}}+{WS}*页\z",
-    rf"\A-{WS}*\p{{Nd}}+{WS}*-\z",
-    rf"(?iu)\Apage{WS}*\p{{Nd}}+{WS}*(?:of|/){WS}*\p{{Nd}}+\z",
-    rf"(?iu)\A(?:Page|Pág\.|P\.){WS}*\p{{Nd}}+\z",
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+
+from doclake.arrow import SLICE, numbered, text_slices
+
+_FENCE = re.compile(r"\s*(?:`{3}|~{3})")
+_INDENTED = re.compile(r"[ \t]{4}")
+_ESCAPED = re.compile(r"\\([\\\[\]\-.()])")
+_PAGE_MARKER = re.compile(
+    "|".join(
+        (
+            r"\[\d+\]\Z",
+            r"第\s*\d+\s*页\Z",
+            r"-\s*\d+\s*-\Z",
+            r"(?i:page)\s*\d+\s*(?:(?i:of)|/)\s*\d+\Z",
+            r"(?i:Page|Pág\.|P\.)\s*\d+\Z",
+        )
+    )
 )
+_GAP = re.compile(r"[ \t]+")
+
+#: A line and whether it is code.
+Line = tuple[str, bool]
 
 
 @dataclass(frozen=True)
@@ -38,70 +51,119 @@ class Rules:
         return self.page_numbers or self.empty_lines or self.spaces or self.duplicates
 
 
-def to_lines(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, pos, line, is_code), a row per line of every text."""
-    lines = df.select(F.col(key), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "line"))
-    so_far = Window.partitionBy(key).orderBy("pos")
-    fence = F.col("line").rlike(FENCE)
-    open_ = F.sum(fence.cast("int")).over(so_far) % 2 == 1
-    return lines.withColumn("is_code", fence | open_ | F.col("line").rlike(INDENTED))
-
-
-def _first_of_runs(lines: DataFrame, key: str, same: Column) -> DataFrame:
-    """Drops what repeats the line before (``same``) in a run, unless it and the run's first line are both code."""
-    order = Window.partitionBy(key).orderBy("pos")
-    runs = lines.withColumn("__same", F.coalesce(same, F.lit(False))).withColumn("__run", F.sum((~F.col("__same")).cast("int")).over(order))
-    first = F.first("is_code").over(Window.partitionBy(key, "__run").orderBy("pos"))
-    kept = runs.withColumn("__first", first).where(~F.col("__same") | (F.col("is_code") & F.col("__first")))
-    return kept.drop("__same", "__run", "__first")
-
-
-def drop_page_markers(lines: DataFrame) -> DataFrame:
-    bare = F.regexp_replace(strip("line"), r"\\([\\\[\]\-.()])", "$1")
-    marker = F.lit(False)
-    for pattern in PAGE_MARKERS:
-        marker = marker | bare.rlike(pattern)
-    return lines.where(F.col("is_code") | ~marker)
-
-
-def collapse_blank_lines(lines: DataFrame, key: str) -> DataFrame:
-    before = F.lag("__blank").over(Window.partitionBy(key).orderBy("pos"))
-    marked = lines.withColumn("__blank", is_blank("line"))
-    kept = _first_of_runs(marked, key, F.col("__blank") & before)
-    return kept.withColumn("line", F.when(F.col("__blank"), "").otherwise(F.col("line"))).drop("__blank")
-
-
-def normalise_spaces(lines: DataFrame) -> DataFrame:
-    line = F.translate("line", "　", " ")
-    lead = F.regexp_extract(line, r"\A([ \t]*)", 1)
-    rest = F.regexp_replace(F.regexp_replace(line, r"\A[ \t]+|[ \t]+\z", ""), r"[ \t]+", " ")
-    return lines.withColumn("line", F.when(is_blank(line), line).when(F.col("is_code"), rstrip(line)).otherwise(F.concat(lead, rest)))
-
-
-def drop_repeated_lines(lines: DataFrame, key: str) -> DataFrame:
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("pos"))
-    return _first_of_runs(lines, key, ~is_blank("line") & (F.col("line") == before))
-
-
-def from_lines(lines: DataFrame, key: str, name: str = "text") -> DataFrame:
-    """(key, text) with the lines joined again; texts without lines are missing."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy(key).agg(joined.alias(name))
-
-
-def clean_lines(lines: DataFrame, key: str, rules: Rules = Rules()) -> DataFrame:
+def lines_of(text: str) -> Iterator[Line]:
+    """The text's lines; fences, what they enclose, and lines indented by four are code."""
+    inside = False
+    for line in text.split("\n"):
+        fence = _FENCE.match(line) is not None
+        inside ^= fence
+        yield line, fence or inside or _INDENTED.match(line) is not None
+
+
+def without_page_markers(lines: Iterator[Line]) -> Iterator[Line]:
+    for line, code in lines:
+        if code or not _PAGE_MARKER.match(_ESCAPED.sub(r"\1", line.strip())):
+            yield line, code
+
+
+def without_blank_runs(lines: Iterator[Line]) -> Iterator[Line]:
+    """Of blank lines in a row the first, and those of code after one of code; they come out empty."""
+    lead: bool | None = None
+    for line, code in lines:
+        if line.strip():
+            lead = None
+            yield line, code
+        elif lead is None or code and lead:
+            lead = code if lead is None else lead
+            yield "", code
+
+
+def with_single_spaces(lines: Iterator[Line]) -> Iterator[Line]:
+    for line, code in lines:
+        line = line.replace("　", " ")
+        if line.strip():
+            bare = line.lstrip(" \t")
+            line = line.rstrip() if code else line[: len(line) - len(bare)] + _GAP.sub(" ", bare.rstrip(" \t"))
+        yield line, code
+
+
+def without_repeats(lines: Iterator[Line]) -> Iterator[Line]:
+    """Of equal lines in a row the first, and those of code after one of code; blank lines may repeat."""
+    before, lead = None, False
+    for line, code in lines:
+        if line == before and line.strip():
+            if code and lead:
+                yield line, code
+        else:
+            before, lead = line, code
+            yield line, code
+
+
+def cleaned(text: str, rules: Rules = Rules()) -> str:
+    lines = lines_of(text)
     if rules.page_numbers:
-        lines = drop_page_markers(lines)
+        lines = without_page_markers(lines)
     if rules.empty_lines:
-        lines = collapse_blank_lines(lines, key)
+        lines = without_blank_runs(lines)
     if rules.spaces:
-        lines = normalise_spaces(lines)
-    return drop_repeated_lines(lines, key) if rules.duplicates else lines
+        lines = with_single_spaces(lines)
+    if rules.duplicates:
+        lines = without_repeats(lines)
+    return "\n".join([line for line, _ in lines])
+
 
+def clean(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), repeats_may_stay: Column | None = None) -> DataFrame:
+    """``df`` with the active rules applied to ``text_col`` in turn; null texts become empty, all else stays as it is.
 
-def clean(df: DataFrame, key: str, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """(key, text) with the active rules applied in turn; keys must be unique. A text all of whose lines go is empty."""
+    Where ``repeats_may_stay`` holds, the rule for repeated lines is left out. Rows needn't differ in anything; a text all
+    of whose lines go is empty; an empty table stays empty. No shuffle.
+    """
     if not rules.any():
-        return df.select(key, F.coalesce(text_col, F.lit("")).alias(text_col))
-    done = from_lines(clean_lines(to_lines(df, key, text_col), key, rules), key, "__clean")
-    return df.select(key).join(done, key, "left").select(key, F.coalesce("__clean", F.lit("")).alias(text_col))
+        return df.withColumn(text_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    names = df.columns
+    keep = [c for c in names if c != text_col]
+    out = StructType([*(StructField(f"c{k}", df.schema[c].dataType) for k, c in enumerate(keep)), StructField("text", StringType())])
+    fewer = Rules(rules.page_numbers, rules.empty_lines, rules.spaces, False)
+    stay = F.lit(False) if repeats_may_stay is None else F.coalesce(repeats_may_stay, F.lit(False))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, len(keep)):
+                texts = [cleaned(t or "", fewer if s else rules) for t, s in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], out.names)
+
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"), stay.alias("stay"))
+    place = {c: f"c{k}" for k, c in enumerate(keep)} | {text_col: "text"}
+    return source.mapInArrow(work, out).select(*[F.col(place[c]).alias(c) for c in names])
+
+
+def to_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row per line of every text: the other columns, ``pos`` from 0, ``line`` and ``is_code``; a null text has one empty line.
+
+    Columns of these names are replaced.
+    """
+    keep = [c for c in df.columns if c not in (text_col, "pos", "line", "is_code")]
+    at = len(keep)
+    out = StructType([*(StructField(f"c{k}", df.schema[c].dataType) for k, c in enumerate(keep)), StructField("pos", LongType()), StructField("line", StringType()), StructField("is_code", BooleanType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flushed() -> pa.RecordBatch:
+            picked = pa.array(places, pa.int32())
+            return pa.RecordBatch.from_arrays([*(c.take(picked) for c in part.columns[:at]), *map(pa.array, zip(*rows), (pa.int64(), pa.string(), pa.bool_()))], out.names)
+
+        for batch in batches:
+            for part in text_slices(batch, at):
+                places, rows, held = [], [], 0
+                for k, text in enumerate(part.column(at).to_pylist()):
+                    for pos, (line, code) in enumerate(lines_of(text or "")):
+                        places.append(k)
+                        rows.append((pos, line, code))
+                        held += len(line) + 16
+                        if held > SLICE:
+                            yield flushed()
+                            places, rows, held = [], [], 0
+                if rows:
+                    yield flushed()
+
+    made = numbered(df, keep, F.col(f"`{text_col}`").cast("string")).mapInArrow(work, out)
+    return made.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "pos", "line", "is_code")

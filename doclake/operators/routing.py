@@ -1,10 +1,10 @@
-"""Which engine reads a source, and in which order others are tried."""
+"""Which engine reads a source, and in which order others are tried; columns only, so nothing is shuffled. A null source is a name without a suffix."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doclake.functions.names import extension, is_url
@@ -46,30 +46,5 @@ def fallback_chain(source: str | Column, routing: Routing = Routing()) -> Column
     return chain if routing.allow_fallback else F.slice(chain, 1, 1)
 
 
-def settle(attempts: DataFrame, source_col: str = "source") -> DataFrame:
-    """One result per source from rows of attempts (source, position, engine, available, status, markdown, errors, warnings).
-
-    The first attempt that isn't an error wins; if it isn't the first engine, ``ok`` becomes ``degraded`` and a warning tells
-    of it. If all fail the last attempt's row stays. Further columns come along; the position goes.
-    """
-    good = F.col("available") & F.col("status").isin("ok", "degraded")
-    better = F.struct(good.alias("good"), F.when(good, -F.col("position")).otherwise(F.col("position")).alias("rank"))
-    carried = [c for c in attempts.columns if c != source_col]
-    best = attempts.groupBy(source_col).agg(F.max_by(F.struct(*carried), better).alias("r"))
-    won = best.select(source_col, "r.*")
-    fell = F.col("available") & F.col("status").isin("ok", "degraded") & (F.col("position") > 0)
-    name = lambda before, after: F.array(F.concat(F.lit(before), F.col("engine"), F.lit(after)))
-    none = F.array().cast("array<string>")
-    return won.withColumns(
-        {
-            "fallback_used": fell,
-            "status": F.when(~F.col("available"), "error").when(fell, "degraded").otherwise(F.col("status")),
-            "markdown": F.when(F.col("available"), F.col("markdown")).otherwise(""),
-            "errors": F.when(F.col("available"), F.col("errors")).otherwise(none),
-            "warnings": F.when(~F.col("available"), name("engine '", "' is not available")).when(fell, F.concat("warnings", name("fell back to engine '", "'"))).otherwise(F.col("warnings")),
-        }
-    ).drop("position", "available")
-
-
 def success(status: str | Column, markdown: str | Column, chunks: str | Column, rag_failed: str | Column) -> Column:
     return ~col(rag_failed) & col(status).isin("ok", "degraded") & ((col(markdown) != "") | (col(chunks) > 0))

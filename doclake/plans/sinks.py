@@ -14,10 +14,11 @@ from doclake.operators.naming import unique_names
 RESULT_KEYS = ("source", "source_format", "engine", "status", "fallback_used", "success", "chunk_count", "metadata", "output_paths", "warnings", "errors", "elapsed")
 
 
-def chunk_structs(chunks: DataFrame) -> DataFrame:
+def chunk_structs(chunks: DataFrame, with_row: bool = False) -> DataFrame:
     """Chunks in the form in which they leave: number, count, heading and part are metadata; what is null is left out."""
     have = [c for c in ("chunk_index", "chunk_count", "header", "part") if c in chunks.columns]
-    return chunks.select("source", "engine", "start_index", "end_index", F.struct(*have).alias("metadata"), F.col("chunk_text").alias("text"))
+    row = ["row"] if with_row else []
+    return chunks.select(*row, "source", "engine", "start_index", "end_index", F.struct(*have).alias("metadata"), F.col("chunk_text").alias("text"))
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
@@ -37,9 +38,9 @@ def result_lines(results: DataFrame, chunks: DataFrame | None = None, with_markd
     keys = [*RESULT_KEYS, *["markdown"] * with_markdown]
     empty = F.array()
     if chunks is not None:
-        made = chunk_structs(chunks)
-        listed = made.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("metadata.chunk_index").alias("k"), F.struct("text", "metadata", "start_index", "end_index").alias("c")))).alias("chunks"))
-        held = results.join(listed, "source", "left").withColumn("chunks", F.transform("chunks", lambda x: x["c"]))
+        made = chunk_structs(chunks, with_row=True)
+        listed = made.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("metadata.chunk_index").alias("k"), F.struct("text", "metadata", "start_index", "end_index").alias("c")))).alias("chunks"))
+        held = results.join(listed, "row", "left").withColumn("chunks", F.transform("chunks", lambda x: x["c"]))
         empty = F.coalesce("chunks", F.array().cast(held.schema["chunks"].dataType))
     line = F.to_json(F.struct(*keys, empty.alias("chunks")))
     return held.select("source", line.alias("line"))
@@ -52,7 +53,7 @@ def write_results(results: DataFrame, folder: str, ext: str = "md") -> DataFrame
     ``folder`` must be one that all executors share. Writing happens when the returned rows are read, again if they are
     read twice.
     """
-    named = unique_names(results.where("status <> 'error'").select("source", "markdown", names.download_name("source", ext).alias("name")), "name", "source")
+    named = unique_names(results.where("status <> 'error'").select("row", "markdown", F.struct("source", "row").alias("place"), names.download_name("source", ext).alias("name")), "name", "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -70,10 +71,10 @@ def write_results(results: DataFrame, folder: str, ext: str = "md") -> DataFrame
                     path, problem = None, f"writing {name} failed: {e}"
                 paths.append(path)
                 problems.append(problem)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(problems, pa.string())], ["source", "path", "problem"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(problems, pa.string())], ["row", "path", "problem"])
 
-    written = named.select("source", "unique_name", "markdown").mapInArrow(work, "source string, path string, problem string")
-    joined = results.join(written, "source", "left")
+    written = named.select("row", "unique_name", "markdown").mapInArrow(work, "row long, path string, problem string")
+    joined = results.join(written, "row", "left")
     broken = F.col("problem").isNotNull()
     return joined.withColumns(
         {

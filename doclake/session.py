@@ -46,10 +46,17 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where none is set (local runs)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and the master is local, one of our own; on a cluster that raises ValueError, as each executor would
+    write to a disk of its own and the data would be lost.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="doclake-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -60,4 +67,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet and read back: what follows neither parses again nor depends on executors that are gone."""
     path = f"{shared_folder(df.sparkSession)}/doclake/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._doclake_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more; any other DataFrame is left alone."""
+    path = getattr(df, "_doclake_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

@@ -10,6 +10,8 @@ from doclake.functions.addresses import Resolver, is_private, resolve
 
 TIMEOUT = 30.0
 MAX_REDIRECTS = 10
+#: Bytes of a page at most; a larger one is an error and not read on.
+MAX_BYTES = 64 << 20
 
 
 class Unsafe(ValueError):
@@ -32,8 +34,14 @@ def _connect(url: str, ip: str, timeout: float) -> tuple[int, dict[str, str], by
     else:
         pool = urllib3.HTTPConnectionPool(ip, port, timeout=timeout)
     path = (at.path or "/") + (f"?{at.query}" if at.query else "")
-    got = pool.request("GET", path, headers={"Host": at.netloc.rpartition("@")[2], "User-Agent": "doclake"}, redirect=False)
-    return got.status, {k.lower(): v for k, v in got.headers.items()}, got.data
+    got = pool.request("GET", path, headers={"Host": at.netloc.rpartition("@")[2], "User-Agent": "doclake"}, redirect=False, preload_content=False)
+    try:
+        body = got.read(MAX_BYTES + 1)
+    finally:
+        got.release_conn()
+    if len(body) > MAX_BYTES:
+        raise ValueError(f"more than {MAX_BYTES} bytes: {url}")
+    return got.status, {k.lower(): v for k, v in got.headers.items()}, body
 
 
 def fetch_page(url: str, resolver: Resolver | None = None, connect: Callable[[str, str, float], tuple[int, dict[str, str], bytes]] = _connect, timeout: float = TIMEOUT) -> str:

@@ -43,19 +43,27 @@ def _place(ref: str) -> tuple[int, int]:
     return int(digits), col
 
 
+#: Numbers of built-in formats that show dates or times.
+DATE_FORMATS = frozenset({*range(14, 23), 45, 46, 47})
+
+
+def is_date_code(code: str) -> bool:
+    """Whether a number format's code shows a date or time."""
+    return re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower())) is not None
+
+
 def _date_styles(files: zipfile.ZipFile) -> set[int]:
     """Indices of cell styles that show dates or times."""
     if "xl/styles.xml" not in files.namelist():
         return set()
     root = ET.fromstring(files.read("xl/styles.xml"))
     custom = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_S}numFmt")}
-    dated = {*range(14, 23), 45, 46, 47} | {k for k, code in custom.items() if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower()))}
+    dated = DATE_FORMATS | {k for k, code in custom.items() if is_date_code(code)}
     formats = root.find(f"{_S}cellXfs")
     return set() if formats is None else {i for i, x in enumerate(formats) if int(x.get("numFmtId", 0)) in dated}
 
 
-def _number(text: str, dated: bool, from_1904: bool) -> str:
-    value = float(text)
+def shown_number(value: float, dated: bool, from_1904: bool) -> str:
     if dated:
         start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30)
         return str(start + datetime.timedelta(seconds=round(value * 86400)))
@@ -110,7 +118,7 @@ def _cell(c: ET.Element, shared: list[str], dated: set[int], from_1904: bool) ->
     if kind == "b":
         return str(v.text == "1")
     if kind == "n":
-        return _number(v.text, int(c.get("s", 0)) in dated, from_1904)
+        return shown_number(float(v.text), int(c.get("s", 0)) in dated, from_1904)
     return v.text
 
 

@@ -5,8 +5,9 @@ The documents hold no Markdown, so cleaning, headings and images work on a text
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,12 +172,12 @@ def clean_sql(*steps: str) -> str:
 
 def _clean(spark: SparkSession, sf_dir: str, *steps: str) -> DataFrame:
     rules = cleaning.Rules(*[s in steps for s in ("page_numbers", "empty_lines", "spaces", "duplicates")])
-    return cleaning.clean(markdown(spark, sf_dir), "doc_id", "text", rules)
+    return cleaning.clean(markdown(spark, sf_dir), "text", rules)
 
 
 @query(LINES + "\nSELECT doc_id, pos, code AS is_code FROM lines")
 def code_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.to_lines(markdown(spark, sf_dir), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "is_code")
+    return cleaning.to_lines(markdown(spark, sf_dir)).select("doc_id", "pos", "is_code")
 
 
 @query(clean_sql("page_numbers"))
@@ -481,37 +482,100 @@ def html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.html_table(*_sheets(spark, sf_dir))
 
 
-@query(
-    f"""WITH {MERGED},
+RECORDS = f"""WITH {MERGED},
      b AS (SELECT source, sheet, col, min_by(value, row) FILTER (value <> '') AS h FROM grid GROUP BY ALL),
-     h AS (SELECT source, sheet, col, CASE WHEN regexp_matches(coalesce(h, ''), '\\A(Unnamed:\\s*[0-9]+|[0-9]+)\\z') THEN 'col_' || col ELSE coalesce(h, '') END AS header FROM b)
-SELECT g.source, g.sheet, g.row, g.col, header, header || '_col' || g.col AS key, CASE WHEN g.is_master IS FALSE THEN m.value ELSE g.value END AS value,
+     h AS (SELECT source, sheet, col, CASE WHEN regexp_matches(coalesce(h, ''), '\\A(Unnamed:\\s*[0-9]+|[0-9]+)\\z') THEN 'col_' || col ELSE coalesce(h, '') END AS header FROM b),
+     rec AS (SELECT g.source, g.sheet, g.row, g.col, header, header || '_col' || g.col AS key, CASE WHEN g.is_master IS FALSE THEN m.value ELSE g.value END AS value,
        g.is_master IS NOT NULL AS merged, coalesce(NOT g.is_master, false) AS skipped, CASE WHEN g.is_master THEN g.rowspan END AS rowspan, CASE WHEN g.is_master THEN g.colspan END AS colspan
-FROM grid g JOIN h USING (source, sheet, col) LEFT JOIN grid m ON m.source = g.source AND m.sheet = g.sheet AND m.row = g.min_row AND m.col = g.min_col WHERE g.row > 1"""
-)
+       FROM grid g JOIN h USING (source, sheet, col) LEFT JOIN grid m ON m.source = g.source AND m.sheet = g.sheet AND m.row = g.min_row AND m.col = g.min_col WHERE g.row > 1)"""
+
+
+@query(RECORDS + "\nSELECT * FROM rec")
 def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.table_records(*_sheets(spark, sf_dir))
-    return found.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+    return tables.table_records(*_sheets(spark, sf_dir))
 
 
-@query()
+JSON = (
+    RECORDS
+    + """,
+     line AS (SELECT source, sheet, row, count(*) AS n, list(header ORDER BY col) AS headers, '{"_row":' || row || ',"_cells":{' ||
+              string_agg('"' || col || '":{"value":' || to_json(value) || ',"col":' || col || ',"header":' || to_json(header) ||
+                         CASE WHEN skipped THEN ',"merged":true,"skipped":true' WHEN merged THEN ',"rowspan":' || rowspan || ',"colspan":' || colspan || ',"merged":true' ELSE ',"merged":false' END || '}', ',' ORDER BY col)
+              || '},' || string_agg(to_json(key) || ':' || to_json(value), ',' ORDER BY col) || '}' AS line FROM rec GROUP BY source, sheet, row),
+     spot AS (SELECT source, sheet, string_agg('{"row":' || min_row || ',"col":' || min_col || ',"rowspan":' || rowspan || ',"colspan":' || colspan || '}', ',' ORDER BY min_row, min_col) AS spots FROM legs WHERE is_master GROUP BY ALL),
+     data AS (SELECT source, sheet, count(*) AS n, min_by(headers, row) AS headers, string_agg(line, ',' ORDER BY row) AS lines FROM line GROUP BY ALL),
+     json AS (SELECT source, sheet, '{"metadata":{"sheet":' || to_json(sheet) || ',"total_rows":' || coalesce(n, 0) || ',"total_columns":' || coalesce(len(headers), 0) || ',"headers":' || coalesce(to_json(headers), '[]')
+              || ',"merged_cells":[' || CASE WHEN n IS NULL THEN '' ELSE coalesce(spots, '') END || ']},"data":[' || coalesce(lines, '') || ']}' AS json
+              FROM (SELECT DISTINCT source, sheet FROM kept) LEFT JOIN data USING (source, sheet) LEFT JOIN spot USING (source, sheet))"""
+)
+
+
+@query(JSON + "\nSELECT source, sheet, json FROM json")
 def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.json_table(*_sheets(spark, sf_dir))
 
 
+@query(JSON + """\nSELECT source, '{"source":' || to_json(regexp_extract(source, '([^/]*)\\z', 1)) || ',"sheets":[' || string_agg('{"sheet":' || to_json(sheet) || ',"content":' || json || '}', ',' ORDER BY sheet) || ']}' AS json FROM json GROUP BY source""")
+def json_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sheets of a workbook in one object."""
+    return tables.json_book(tables.json_table(*_sheets(spark, sf_dir)))
+
+
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as Markdown, as the breadth reader makes it."""
     return texts.html_to_markdown(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "html")
 
 
-@query()
+def _office(rows: DataFrame, kind: str) -> DataFrame:
+    """(source, content) of (source, lists of texts): a workbook with one sheet of these rows, or paragraphs below a heading."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from doclake.sources import office
+
+        for batch in batches:
+            made = [office.workbook({"Rows": r}) if kind == "xlsx" else office.word(("Heading1", r[0][0]), *[("", t) for t in r[0][1:]]) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["source", "content"])
+
+    return rows.select("source", "rows").mapInArrow(work, "source string, content binary")
+
+
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Markdown, a word-processor file per page, a table per customer, a workbook per order, and files that no engine reads."""
+    text = lambda c: F.col(c).cast("string")
+    named = lambda before, key, after: F.concat(F.lit(before), text(key), F.lit(after)).alias("source")
+    docs = table(spark, sf_dir, "documents").select(named("in/doc-", "doc_id", ".md"), F.encode("text", "UTF-8").alias("content"))
+    pages = table(spark, sf_dir, "pages").select(named("in/page-", "page_id", ".docx"), F.array(F.array(F.col("url"), F.concat(F.lit("number "), text("page_id")))).alias("rows"))
+    customers = table(spark, sf_dir, "customer").select(named("in/customer-", "c_custkey", ".csv"), F.encode(F.concat(F.lit("key,name\n"), text("c_custkey"), F.lit(","), "c_name", F.lit("\n")), "UTF-8").alias("content"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.array(text("l_linenumber"), "l_returnflag", "l_linestatus"))).alias("body"))
+    orders = lines.select(named("in/order-", "l_orderkey", ".xlsx"), F.concat(F.array(F.array(F.lit("line"), F.lit("flag"), F.lit("status"))), "body").alias("rows"))
+    broken = table(spark, sf_dir, "supplier").select(named("in/supplier-", "s_suppkey", ".xlsx"), F.encode(F.lit("not a workbook"), "UTF-8").alias("content"))
+    slides = table(spark, sf_dir, "supplier").select(named("in/supplier-", "s_suppkey", ".pptx"), F.encode(F.lit("PK"), "UTF-8").alias("content"))
+    plain = docs.unionByName(customers).unionByName(broken).unionByName(slides)
+    return plain.unionByName(_office(pages, "docx")).unionByName(_office(orders, "xlsx"))
+
+
+#: A document's text, cleaned as the plan does, in a row per document.
+CLEANED = clean_sql("page_numbers", "empty_lines", "spaces", "duplicates").replace(MD, "md AS (SELECT doc_id, text FROM documents)")
+
+
+@query(
+    f"""WITH done AS ({CLEANED}),
+     o AS (SELECT l_orderkey, string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' | ' || l_linestatus || ' |', chr(10)) AS t, count(*) AS k FROM lineitem GROUP BY l_orderkey),
+     r AS (SELECT 'in/doc-' || doc_id || '.md' AS source, 'breadth' AS engine, CASE WHEN d.text = '' THEN 'error' ELSE 'ok' END AS status, done.text AS t FROM documents d JOIN done USING (doc_id)
+           UNION ALL SELECT 'in/page-' || page_id || '.docx', 'deep', 'ok', '<!-- source: page-' || page_id || '.docx | paragraphs: 2 -->' || chr(10) || chr(10) || '# ' || url || chr(10) || chr(10) || 'number ' || page_id FROM pages
+           UNION ALL SELECT 'in/customer-' || c_custkey || '.csv', 'breadth', 'ok', '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ' |' FROM customer
+           UNION ALL SELECT 'in/order-' || l_orderkey || '.xlsx', 'deep', 'ok', '<!-- source: in/order-' || l_orderkey || '.xlsx | sheet: Rows | rows: ' || k || ' | cols: 3 -->' || chr(10) || chr(10) || '| line | flag | status |' || chr(10) || '| --- | --- | --- |' || chr(10) || t FROM o
+           UNION ALL SELECT 'in/supplier-' || s_suppkey || '.' || e, 'breadth', 'error', '' FROM supplier, (VALUES ('xlsx'), ('pptx')) v(e)),
+     n AS (SELECT *, CASE WHEN status = 'error' THEN 0 ELSE length(t) END AS n FROM r)
+SELECT source, regexp_extract(source, '[a-z]*\\z') AS source_format, engine, status, false AS fallback_used,
+       CASE WHEN status = 'error' THEN NULL ELSE n END AS length, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 448.0) END AS BIGINT) AS chunk_count, status <> 'error' AND n > 0 AS success FROM n"""
+)
 def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and pages as sources: routed, read, cleaned and chunked; a row per result."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.encode("text", "UTF-8").alias("content"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.encode("html", "UTF-8").alias("content"))
-    results, _ = convert.run(docs.unionByName(pages), Settings(chunking=ChunkSettings(True)))
-    return results.select("source", "source_format", "engine", "status", "fallback_used", "chunk_count", "success")
+    """A collection of real files: routed, read, rendered, cleaned and chunked; a row per result."""
+    results, _ = convert.run(collection(spark, sf_dir), Settings(chunking=ChunkSettings(True)))
+    length = F.when(F.col("status") != "error", F.char_length("markdown")).cast("long").alias("length")
+    return results.select("source", "source_format", "engine", "status", "fallback_used", length, "chunk_count", "success")
 
 
 @query(
@@ -539,14 +603,32 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.retrieval(ranked, "user_id", "relevant", [F.desc("value"), "event_id"], 5)
 
 
+_AT = ", ".join(f"max(CASE WHEN level = {n} THEN a END) OVER (PARTITION BY doc_id ORDER BY a) AS a{n}" for n in range(1, 7))
+_NEWEST = ["-1", *(f"greatest({', '.join(f'coalesce(a{k}, -1)' for k in range(1, n + 1))}, -1)" for n in range(1, 6))]
+_CRUMBS = " || '>' || ".join(f"coalesce((SELECT header FROM h WHERE h.doc_id = t.doc_id AND h.a = t.a{n + 1} AND t.a{n + 1} > {_NEWEST[n]}), '')" for n in range(6))
+
+
 @query(
     SECTIONS
-    + """,
-     h AS (SELECT doc_id, a, header, length(regexp_extract(substr(text, a + 1, b - a), '\\A(#{1,6})', 1)) AS level FROM g),
-     t AS (SELECT doc_id, a, header, max(CASE WHEN level = 1 THEN a END) OVER (PARTITION BY doc_id ORDER BY a) AS at FROM h)
-SELECT t.doc_id, t.a AS start_index, t.header, coalesce(o.header, '') AS top_header FROM t LEFT JOIN h o ON o.doc_id = t.doc_id AND o.a = t.at"""
+    + f""",
+     h AS (SELECT doc_id, a, header, length(regexp_extract(substr(text, a + 1, b - a), '\\A(#{{1,6}})', 1)) AS level FROM g),
+     t AS (SELECT doc_id, a, header, {_AT} FROM h)
+SELECT doc_id, a AS start_index, header, {_CRUMBS} AS crumbs FROM t"""
 )
-def heading_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last heading of the first level at or above each section, or nothing."""
-    crumbs = metrics.breadcrumbs(chunking.heading_chunks(markdown(spark, sf_dir)), "doc_id")
-    return crumbs.select("doc_id", "start_index", "header", F.coalesce(F.get("levels", F.lit(0)), F.lit("")).alias("top_header"))
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings of all six levels at or above each section, or nothing for a level."""
+    crumbs = metrics.breadcrumbs(chunking.heading_chunks(nested(spark, sf_dir)), "doc_id")
+    return crumbs.select("doc_id", "start_index", "header", F.array_join(F.transform("levels", lambda x: F.coalesce(x, F.lit(""))), ">").alias("crumbs"))
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document below headings of all levels, up and down."""
+    docs = table(spark, sf_dir, "documents")
+    heads = [F.lit("\n" * (k > 0) + "#" * n + f" part {k}\n") for k, n in enumerate(_LEVELS)]
+    parts = [x for h in heads for x in (h, F.substring("text", 1, 40))]
+    return docs.select("doc_id", F.concat(*parts, F.lit("\n"), "text").alias("text"))
+
+
+_LEVELS = [1, 2, 3, 6, 4, 2, 5, 1, 3]
+_NESTED = "md AS (SELECT doc_id, " + " || ".join(f"{lit(chr(10) * (k > 0) + '#' * n + f' part {k}' + chr(10))} || substr(text, 1, 40)" for k, n in enumerate(_LEVELS)) + " || chr(10) || text AS text FROM documents)"
+_SQL["heading_levels"] = _SQL["heading_levels"].replace(MD, _NESTED)

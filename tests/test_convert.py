@@ -52,7 +52,7 @@ def test_all_kinds_of_sources(sources):
     sales = got["sales.xlsx"]
     assert (sales.status, sales.engine, sales.fallback_used) == ("ok", "deep", False)
     assert sales.markdown == "<!-- source: /in/sales.xlsx | sheet: Sales | rows: 2 | cols: 3 -->\n\n| Region | Product | Units |\n| --- | --- | --- |\n| North | A\\|x | 12 |\n| South | a<br>b | 7.5 |"
-    assert sales.warnings == ["工作表 Empty 跳过： the sheet is empty"] and [tuple(s) for s in sales.sheets] == [("Sales", 3, 3)]
+    assert sales.warnings == ["sheet Empty left out: the sheet is empty"] and [tuple(s) for s in sales.sheets] == [("Sales", 3, 3)]
     assert got["note.docx"].markdown == "<!-- source: note.docx | paragraphs: 4 -->\n\n# Title\n\nFirst <b> text\n\n**Bold**\n\n## Part"
     assert got["note.docx"].metadata["paragraphs"] == "4" and got["note.docx"].success
     for name in ("broken.docx", "broken.xlsx"):
@@ -120,7 +120,7 @@ def test_captions_come_before_chunks(spark):
     assert all("describe" in r.warnings[0] for r in run(df, Settings(captions=on))[0].collect())
     incomplete = CaptionSettings(True, "openai", "http://llm", "", "m")
     assert not incomplete.usable() and on.usable() and on.sent_key() == "ollama"
-    assert all("配置不完整" in r.warnings[0] for r in run(df, Settings(captions=incomplete), describe)[0].collect())
+    assert all("missing" in r.warnings[0] for r in run(df, Settings(captions=incomplete), describe)[0].collect())
 
 
 def test_no_chunks_is_no_success(spark):

@@ -3,11 +3,11 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from office import word, workbook
+from office import compound, doc, word, workbook, xls
 
 from doclake.functions.addresses import is_safe_url
 from doclake.functions.text import decode_text
-from doclake.sources import fetch, ooxml
+from doclake.sources import fetch, ole, ooxml
 from doclake.sources.html import html_to_md
 
 
@@ -50,6 +50,30 @@ def test_word_file():
     assert got.html == "<h2>H</h2><p>a &amp; b</p><p><strong>bold</strong></p>" and got.paragraphs == 3
 
 
+def test_binary_workbook():
+    rows = [["Name", "中文 text", None, True], [1, -7, 2.5, ("date", 44000.5)], [("formula", "made"), "again", 10**6, "Name"]]
+    for split in (0, 12):
+        one, two = ole.read_workbook(xls({"A": rows, "空 sheet": []}, {"A": [(0, 0, 1, 3)]}, split))
+        assert (one.name, two.name, two.cells) == ("A", "空 sheet", {}) and one.merges == [(1, 2, 1, 4)]
+        assert one.cells == {(1, 1): "Name", (1, 2): "中文 text", (1, 4): "True", (2, 1): "1", (2, 2): "-7", (2, 3): "2.5", (2, 4): "2020-06-18 12:00:00", (3, 1): "made", (3, 2): "again", (3, 3): "1000000", (3, 4): "Name"}
+    assert [s.name for s in ole.read_workbook(xls({"A": [], "B": []}), ("B",))] == ["B"]
+    large = [[f"cell {r} {c}" for c in range(5)] for r in range(400)]
+    (sheet,) = ole.read_workbook(xls({"L": large}))
+    assert len(sheet.cells) == 2000 and sheet.cells[400, 5] == "cell 399 4"
+
+
+def test_binary_text():
+    got = ole.word_text(doc("Title\rfirst ", "段落 two\r", "a\x07b\x07\x07see \x13 HYPERLINK x \x14the \x13 PAGE \x15link\x15\rend\x0b."))
+    assert got == "Title\nfirst 段落 two\na\tb\nsee the link\nend\n."
+
+
+@pytest.mark.parametrize("content", [b"", b"garbage", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\xff" * 600, compound({"Other": b"x"}), compound({"Workbook": b"\x09\x08\x10\0\0\5" + bytes(14), "WordDocument": bytes(1024)})])
+def test_damaged_binary_files_are_told(content):
+    for read in (ole.read_workbook, ole.word_text):
+        with pytest.raises((ValueError, KeyError)):
+            read(content)
+
+
 def test_bytes_as_text():
     assert decode_text("é中".encode()) == "é中" and decode_text("中文".encode("gb18030")) == "中文" and decode_text(b"\xff\xfe\xff") == "ÿþÿ"
 
