@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 
 import numpy as np
@@ -42,28 +44,88 @@ def test_variants_and_seeds_differ():
     assert none == [LIBRARY.piece_to_id(c) for c in "▁jumping"]
 
 
+def literal(text: str, variant: int, rate: float, seed: int) -> list[int]:
+    """The model's best merges one by one, each skipped for good by its own draw; written anew, with plain numbers and strings."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    ids = []
+    normal = LIBRARY.normalize(text)
+    for place, part in enumerate(re.findall("▁+[^▁\n]*|\n|[^▁\n]+", normal)):
+        base = mix(((mix(seed ^ 0x9E3779B97F4A7C15) ^ variant) + (place + 1) * 0x9E3779B97F4A7C15) & mask)
+        symbols, skipped, turn = [(c, k) for k, c in enumerate(part)], set(), 0
+        while True:
+            open_ = []
+            for k, ((a, i), (b, j)) in enumerate(zip(symbols, symbols[1:])):
+                piece = LIBRARY.piece_to_id(a + b)
+                if piece != LIBRARY.unk_id() and LIBRARY.id_to_piece(piece) == a + b and not LIBRARY.is_byte(piece) and (a, b, i) not in skipped:
+                    open_.append((-LIBRARY.get_score(piece), i, k, a, b))
+            if not open_:
+                break
+            _, i, k, a, b = min(open_)
+            draw = mix((base + (turn // 2 + 1) * 0xD1B54A32D192ED03) & mask) >> (32 * (turn % 2)) & 0xFFFFFFFF
+            turn += 1
+            if draw < int(rate * 2**32):
+                skipped.add((a, b, i))
+            else:
+                symbols[k : k + 2] = [(a + b, i)]
+        for s, _ in symbols:
+            piece = LIBRARY.piece_to_id(s)
+            known = piece != LIBRARY.unk_id() and not LIBRARY.is_byte(piece)
+            ids += [piece] if known else [LIBRARY.piece_to_id(f"<0x{x:02X}>") for x in s.encode()]
+    return ids
+
+
+@given(texts, st.integers(0, (1 << 63) - 1), st.sampled_from([1, 9]))
+@settings(max_examples=150, deadline=None)
+def test_it_is_the_literal_dropout(text, variant, seed):
+    for rate in (0.1, 0.6):
+        assert tool(rate, seed).encode(text, variant) == literal(text, variant, rate, seed)
+
+
+@functools.cache
+def tool(rate, seed):
+    return sp_dropout.Dropout(MODEL, rate, seed)
+
+
+def test_whole_texts_are_the_literal_dropout(documents):
+    some = sorted((d["text"] for d in documents if d["text"] and len(d["text"]) < 3000), key=len)[-12:]
+    normal = DROPPED.normalise(some)
+    ids, counts = DROPPED.encode_normal(normal, list(range(12)))
+    stops = np.cumsum(counts)
+    for k, text in enumerate(some):
+        assert ids[stops[k] - counts[k] : stops[k]].tolist() == literal(text, k, 0.3, 11)
+
+
 def test_every_occurrence_is_cut_on_its_own():
     """One word, many times in one text and at one place in many documents, takes many more than four forms."""
     word, n = "▁remarkably", 400
-    tool = sp_dropout.Dropout(MODEL, 0.3, 11)
-    skips = lambda doc, place: tool.packed(tool.merge(word, tool.masks(doc, place, 1)[0], tool.base(doc, place))[0])
-    inside = [skips(5, k) for k in range(n)]
-    assert tool.encode_normal(word * n, 5) == b"".join(inside)
-    across = [tool.encode_normal(word, tool.variant(i)) for i in range(n)]
-    assert len(set(inside)) > 8 and len(set(across)) > 8
+    inside = [tuple(DROPPED.merge(word, DROPPED.base(5, k))[0]) for k in range(n)]
+    ids, _ = DROPPED.encode_normal([word * n], [5])
+    assert ids.tolist() == [i for found in inside for i in found]
+    across = {tuple(DROPPED.encode_normal([word], [DROPPED.variant(i)])[0].tolist()) for i in range(n)}
+    assert len(set(inside)) > 8 and len(across) > 8
 
 
 def test_draws_are_the_same_in_bulk_and_alone():
-    tool = sp_dropout.Dropout(MODEL, 0.3, 11)
-    masks = tool.masks(77, 3, 50)
-    for k, mask in enumerate(masks):
-        base = tool.base(77, 3 + k)
-        assert [mask >> t & 1 for t in range(sp_dropout.TURNS)] == [int(tool.skipped(base, t)) for t in range(sp_dropout.TURNS)]
-    share = sum((m & 0xFFFFFFFF).bit_count() for m in tool.masks(1, 0, 20_000)) / (20_000 * sp_dropout.TURNS)
-    assert abs(share - 0.3) < 0.005
-    long = "▁" + "international" * 20
-    assert tool.merge(long)[1] > sp_dropout.TURNS
-    assert len({tool.encode_normal(long, v) for v in range(20)}) == 20
+    places = np.arange(3, 20_003)
+    bases = DROPPED.base(np.full(20_000, 77), places)
+    assert bases[:50].tolist() == [DROPPED.base(77, int(k)) for k in places[:50]]
+    for turn in (0, 1, 5, 40):
+        drawn = DROPPED.skipped(bases, turn)
+        assert drawn[:50].tolist() == [DROPPED.skipped(int(x), turn) for x in bases[:50]] and abs(drawn.mean() - 0.3) < 0.015
+
+
+def test_long_parts_are_cut_alike(monkeypatch):
+    """By a heap of their own, as by the agenda of all together."""
+    long = "▁" + "internationalé😀" * 20
+    own = {tuple(DROPPED.encode_normal([long], [v])[0].tolist()) for v in range(20)}
+    monkeypatch.setattr(sp_dropout, "WIDE", 1000)
+    assert len(own) == 20 and own == {tuple(DROPPED.encode_normal([long], [v])[0].tolist()) for v in range(20)}
 
 
 def test_op3_is_lossless(spark, sf_dir, documents):
