@@ -8,12 +8,15 @@ import gc
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from doclake.arrow import text_slices
 from doclake.session import shared_folder
+from doclake.session import staged as stage
+from doclake.session import unstage as drop_stage
+
+__all__ = ["Memo", "drop_stage", "partitions", "plain_words", "released", "scratch", "stage", "text_slices", "tokenizer", "tokenizer_path"]
 
 #: Entries that one generation of a memo may hold, and the longest key it takes: at most some 0.7 KB an entry, 0.2 typically.
 MEMO_ENTRIES = 100_000
@@ -25,41 +28,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/doclake/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._doclake_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_doclake_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices whose texts have about ``size`` bytes; a longer text is a slice of its own."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    stops = np.cumsum(lengths.astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = stops[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(stops, before + size, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 class Memo(dict):
     """A dictionary for one task that never holds more than two generations of ``limit`` entries.
 

@@ -42,8 +42,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root) for every node of ``edges``; root is the least node of its component, and is itself among the nodes.
 
     Null ends and self links are ignored; an empty table gives an empty table. Each round hangs every neighbourhood on its
-    least node (large star), then every lower neighbour (small star); group minima are partly aggregated before they are
-    shuffled, so a hub costs a join over its rows but no list of them. Rounds grow with the logarithm of the longest path.
+    least node (large star), then every lower neighbour (small star). Group minima are partly aggregated before they are
+    shuffled, and written out before they are joined, so that Spark can split a hub's rows over several tasks of the join.
+    Rounds grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     now = stage(
@@ -55,12 +56,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = None
     while True:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = stage(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, "large")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         before, now = now, stage(small, "edges")
-        drop_stage(before)
+        for done in (before, least, large, low):
+            drop_stage(done)
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, mark) == seen:
             break

@@ -96,3 +96,49 @@ def test_long_chain_and_hub(spark):
     hub = [(1000, 1000 + i) for i in range(1, 300)] + [(None, 5), (7, None), (2000, 2000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+
+
+def shingles(text: str | None, n: int = 5) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
+
+
+def similar_groups(texts: dict, least: float = 0.8) -> dict:
+    """The least id that links of similar texts reach, every text compared with every other that shares a shingle."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    holders: dict = {}
+    for i, s in sets.items():
+        for x in s or [()]:
+            holders.setdefault(x, []).append(i)
+    links = set()
+    for found in holders.values():
+        for a, b in itertools.combinations(found, 2):
+            if (a, b) not in links and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                links.add((a, b))
+    return components(texts, links)
+
+
+def test_similar_texts_equal_brute_force(spark, monkeypatch):
+    """Edited copies of all kinds, in many small tiles: no link is missed, none is made up, and groups may be large."""
+    monkeypatch.setattr(simhash, "TILE", 25)
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 3_000)
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3_000)]
+    texts: dict = {}
+    for k in range(40):
+        words = rng.choices(vocabulary, k=rng.choice((3, 40, 120, 400)))
+        for _ in range(rng.choice((1, 2, 6))):
+            edited = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 30))):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            texts[len(texts)] = rng.choice((" ", "\n")).join(edited).replace("w1", "W1")
+    many = rng.choices(vocabulary, k=200)
+    for _ in range(60):
+        many[rng.randrange(200)] = rng.choice(vocabulary)
+        texts[len(texts)] = " ".join(many)
+    texts |= {1000: "", 1001: None, 1002: " \n", 1003: "one", 1004: "ONE", 1005: "one two", 1006: "x " * 30_000}
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in texts.items()], "doc_id long, text string, key string, n int")
+    got = {r.id: r.component for r in simhash.similar_texts(df).collect()}
+    assert got == similar_groups(texts)
+    assert len(set(got.values())) < len(got) - 60
+    assert simhash.similar_texts(df.where("false")).collect() == []
