@@ -29,9 +29,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; of rows that share that id too, one."""
+    """Keeps the document with the least id of each group; of rows that share that id too, one.
+
+    Texts link where their shingles of five words have a similarity of 0.8 or more. Texts without words are one group.
+    """
     rows = common.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = simhash.near_duplicates(rows.withColumn("__id", F.struct("doc_id", "__row")), radius=4, id_col="__id")
+    found = simhash.similar_texts(rows.withColumn("__id", F.struct("doc_id", "__row")), similarity=0.8, shingle_words=5, radius=36, id_col="__id")
     kept = found.where(F.col("id") == F.col("component")).select(F.col("id.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
@@ -63,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.stage(stage(spark, docs, sf_dir), name)
+        common.drop_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

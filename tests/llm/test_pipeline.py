@@ -3,9 +3,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from llm_help import components
 from test_quality import base_counts, brute_ratio
-from test_simhash import brute_fingerprint, near
+from test_simhash import similar_groups
 from test_tokens import check_packing, ids_of
 
 import corpus_pipeline
@@ -45,11 +44,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert {r.doc_id for r in outputs["quality_classifier"]} == kept
 
     rows = inputs["simhash_near_dedup"]
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
-    of: dict = {}
-    for doc_id, fp in sorted(fps.items()):
-        of.setdefault(fp, doc_id)
-    group = components(fps, [(of[a], of[b]) for a, b in near(sorted(of))] + [(of[fp], i) for i, fp in fps.items()])
+    group = similar_groups({r["doc_id"]: r["text"] for r in rows})
+    assert len(set(group.values())) < len(group)
     assert {r.doc_id for r in outputs["simhash_near_dedup"]} == set(group.values())
 
     tool, rows = pii.Pseudonyms(PII_KEY), inputs["pii_pseudonyms"]
