@@ -18,6 +18,9 @@ BUCKETS = 16_384
 THRESHOLD = -0.2
 #: Added to each bucket's count.
 SMOOTHING = 1.0
+#: Bits of the filter for trusted ids, and how many rows of 32,768 bits it has at most.
+BITS_PER_ID = 32
+MAX_BITMAPS = 16_384
 
 WHITE = " \t\n\x0b\x0c\r"
 _WS = r"[\x20\x09-\x0D]+"
@@ -75,17 +78,33 @@ def _with_buckets(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     ).drop("__doclake_h")
 
 
+def _maybe_trusted(ids: DataFrame, good: DataFrame) -> DataFrame:
+    """``ids`` with ``__doclake_maybe``: true for every id among ``good``, and for few others as long as the filter isn't full.
+
+    The filter is a bitmap of BITS_PER_ID bits an id in rows of 32,768 bits, at most MAX_BITMAPS of them: 64 MB, however
+    many ids there are. What it lets through costs a shuffled row and changes no result.
+    """
+    rows = min(MAX_BITMAPS, max(1, -(-good.count() * BITS_PER_ID // 32_768)))
+    place = f"pmod(xxhash64(__doclake_id), {rows * 32_768}L)"
+    bits = good.selectExpr(f"{place} as p").groupBy(F.expr("p div 32768").alias("__doclake_row")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("__doclake_bits"))
+    met = ids.withColumns({"__doclake_p": F.expr(place), "__doclake_row": F.expr(f"{place} div 32768")}).join(F.broadcast(bits), "__doclake_row", "left")
+    octet = "cast(conv(hex(substring(__doclake_bits, cast((__doclake_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"__doclake_id is not null and coalesce(shiftright({octet}, cast(__doclake_p % 8 as int)) & 1, 0) = 1")
+    return met.withColumn("__doclake_maybe", hit).drop("__doclake_p", "__doclake_row", "__doclake_bits")
+
+
 def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """log(p_trusted / p_corpus) of every bucket, as counted over all ``docs``.
 
-    ``trusted`` names trusted documents by ``id_col``; all of them are used, by a join whose kind Spark chooses by size.
-    Null ids are never trusted and stay out of that join. Only ``buckets`` sums reach the driver. With no trusted text all
-    weights are zero.
+    ``trusted`` names trusted documents by ``id_col``; all of them are used. Texts that a bitmap of their ids rules out are
+    counted where they are, and the others are shuffled by id to meet the ids: one plan at every size, which moves little
+    more than the trusted texts. Null ids are never trusted. Only ``buckets`` sums reach the driver. With no trusted text
+    all weights are zero.
     """
-    good = trusted.select(F.col(id_col).alias("__doclake_id")).where("__doclake_id is not null").distinct().withColumn("__doclake_good", F.lit(1))
-    texts = docs.select(F.col(id_col).alias("__doclake_id"), text_col)
-    named = texts.where("__doclake_id is not null").join(good, "__doclake_id", "left")
-    marked = named.unionByName(texts.where("__doclake_id is null").withColumn("__doclake_good", F.lit(0)))
+    good = trusted.select(F.col(id_col).alias("__doclake_id")).where("__doclake_id is not null").distinct()
+    texts = _maybe_trusted(docs.select(F.col(id_col).alias("__doclake_id"), text_col), good)
+    named = texts.where("__doclake_maybe").join(good.withColumn("__doclake_good", F.lit(1)).hint("merge"), "__doclake_id", "left")
+    marked = named.unionByName(texts.where("not __doclake_maybe").withColumn("__doclake_good", F.lit(0)))
     grams = _with_buckets(marked, text_col, buckets).select(F.coalesce("__doclake_good", F.lit(0)).alias("good"), F.explode(F.concat("__doclake_one", "__doclake_two")).alias("bucket"))
     counts = np.zeros((buckets, 2))
     for bucket, every, good in grams.groupBy("bucket").agg(F.count("*"), F.sum("good")).collect():
