@@ -9,6 +9,7 @@ permuted, moved on by a keyed step in the cycle, and permuted back.
 from __future__ import annotations
 
 import bisect
+import calendar
 import datetime
 import functools
 import hashlib
@@ -88,6 +89,36 @@ def _only_digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+#: Dates of these years stay in them, and dates of all other years from 1 to 9999 in the others.
+NEAR = range(1900, 2100)
+
+
+class _Calendar:
+    """Numbers the days whose day or month has one digit where it is written so, and comes after the twelfth if ``late``.
+
+    A date that can be read in one order only stays such a date.
+    """
+
+    def __init__(self, near: bool, short_day: bool, short_month: bool, late: bool):
+        fits = lambda x: not (short_day and x.day > 9 or short_month and x.month > 9 or late and x.day <= 12)
+        year = lambda y: [x for d in range(366) if (x := datetime.date(y, 1, 1) + datetime.timedelta(d)).year == y and fits(x)]
+        self.of = {leap: [(x.month, x.day) for x in year(2004 if leap else 2001)] for leap in (False, True)}
+        self.years = [y for y in range(1, 10_000) if (y in NEAR) == near]
+        self.starts = [0]
+        for y in self.years:
+            self.starts.append(self.starts[-1] + len(self.of[calendar.isleap(y)]))
+        self.n = self.starts[-1]
+
+    def index(self, day: datetime.date) -> int:
+        at = bisect.bisect_left(self.years, day.year)
+        return self.starts[at] + bisect.bisect_left(self.of[calendar.isleap(day.year)], (day.month, day.day))
+
+    def day(self, k: int) -> datetime.date:
+        at = bisect.bisect_right(self.starts, k) - 1
+        y = self.years[at]
+        return datetime.date(y, *self.of[calendar.isleap(y)][k - self.starts[at]])
+
+
 class Pseudonyms:
     """Finds and replaces values under one key; ``undo`` gives the original values back."""
 
@@ -99,6 +130,7 @@ class Pseudonyms:
         "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?![\d/-])",
         "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
+        "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)",
         "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
         "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)",
@@ -171,16 +203,9 @@ class Pseudonyms:
         it = iter(bare)
         return "".join(c if c == " " else next(it) for c in text)
 
-    DAYS = range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
-
-    @functools.cache  # noqa: B019  at most eight lists, and one tool per key
-    def _days(self, short_day: bool, short_month: bool, late: bool) -> list[int]:
-        """Days whose day or month has one digit where it is written so, and comes after the twelfth if ``late``.
-
-        A date that can be read in one order only stays such a date.
-        """
-        days = ((d, datetime.date.fromordinal(d)) for d in self.DAYS)
-        return [d for d, x in days if not (short_day and x.day > 9 or short_month and x.month > 9 or late and x.day <= 12)]
+    @functools.cache  # noqa: B019  at most sixteen small tables, and one tool per key
+    def _calendar(self, near: bool, short_day: bool, short_month: bool, late: bool) -> "_Calendar":
+        return _Calendar(near, short_day, short_month, late)
 
     def _date(self, text: str, undo: bool) -> str | None:
         a, b, c = re.split(r"[./-]", text)
@@ -194,14 +219,12 @@ class Pseudonyms:
         written = dict(zip(order, (a, b, c)))
         parts = {k: int(x) for k, x in written.items()}
         try:
-            day = datetime.date(parts["y"], parts["m"], parts["d"]).toordinal()
+            day = datetime.date(parts["y"], parts["m"], parts["d"])
         except ValueError:
             return None
-        if not self.DAYS[0] <= day <= self.DAYS[-1]:
-            return None
-        kind = len(written["d"]) == 1, len(written["m"]) == 1, late
-        days = self._days(*kind)
-        new = datetime.date.fromordinal(days[self._permute(bisect.bisect_left(days, day), len(days), f"date{kind}", undo)])
+        kind = day.year in NEAR, len(written["d"]) == 1, len(written["m"]) == 1, late
+        days = self._calendar(*kind)
+        new = days.day(self._permute(days.index(day), days.n, f"date{kind}", undo))
         got = {"y": new.year, "m": new.month, "d": new.day}
         return mark.join(f"{got[k]:0{len(written[k])}d}" for k in order)
 
@@ -211,6 +234,17 @@ class Pseudonyms:
             return None
         return str(ipaddress.IPv4Address(self._permute(int.from_bytes(bytes(octets), "big"), 1 << 32, "ip", undo)))
 
+    def _ip6(self, text: str, undo: bool) -> str | None:
+        """In the shortest form, whatever the address's own: all forms of one address share a pseudonym."""
+        try:
+            value = int(ipaddress.IPv6Address(text)) if text != "::" else None
+        except ValueError:
+            return None
+        if value is None:
+            return None
+        new = str(ipaddress.IPv6Address(self._permute(value, 1 << 128, "ip6", undo)))
+        return new.upper() if text.isupper() else new
+
     def _ssn(self, text: str, undo: bool) -> str | None:
         area, group, serial = map(int, text.split("-"))
         if not (0 < area < 900 and area != 666 and group and serial):
@@ -265,7 +299,7 @@ class Pseudonyms:
 
 
 #: No kind can be found in a text without one of these.
-_HINT = re.compile(r"[\d@]|sk-|xox|gh[pousr]_|A[KS]IA|[a-f]{32}|(?i:token|secret|passw|api[_-]?key|access[_-]?key|auth)")
+_HINT = re.compile(r"[\d@]|:[0-9A-Fa-f]{0,4}:|sk-|xox|gh[pousr]_|A[KS]IA|[a-f]{32}|(?i:token|secret|passw|api[_-]?key|access[_-]?key|auth)")
 _PSEUDONYMS: dict[bytes, Pseudonyms] = {}
 
 
@@ -275,9 +309,11 @@ def pseudonyms(key: bytes) -> Pseudonyms:
     return _PSEUDONYMS[key]
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"doclake", text_col: str = "text", undo: bool = False, replaced_col: str | None = "n_replaced", kinds_col: str | None = "pii_kinds") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool = False, replaced_col: str | None = "n_replaced", kinds_col: str | None = "pii_kinds") -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced, and how many there were in all and by kind.
 
+    ``key`` is a secret: whoever has it can undo the pseudonyms, and other keys give other ones.
+
     Whole texts of any length are searched. Null texts stay null, with no values; all other columns, repeated rows and the
     number of rows stay as they are. Columns named like the two new ones are replaced; None leaves a count out.
     """
