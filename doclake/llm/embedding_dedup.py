@@ -1,13 +1,15 @@
 """Embedding near-duplicates: random-hyperplane signs in several tables, exact cosines and connected components.
 
 Equal vectors of a label are one class with a count. Each class gets a signature of sign bits per table; classes that
-share a table's signature are compared exactly, in tiles when they are many, so no bucket is capped. Bits grow with the
-logarithm of the largest label, and the number of tables follows from the wanted chance of finding a pair that lies just
-at the threshold. A pair that meets in several tables counts in the first one only, so pairs need not be made distinct.
+share a table's signature are compared exactly, in tiles when they are many, so no bucket is capped. The number of bits is
+fixed and that of tables follows from the wanted chance of finding a pair that lies just at the threshold, so this chance
+is the same for every pair, however many vectors there are. A pair that meets in several tables counts in the first one
+only, so pairs need not be made distinct.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,15 +24,17 @@ from doclake.llm.components import connected_components, forest
 #: Classes in a tile of a bucket at most, about.
 TILE = 1_024
 RECALL = 0.99
+#: Sign bits of a signature: buckets of a label are a 4096th of it where its vectors have nothing in common.
+BITS = 12
 
 
-def plan_tables(largest: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits per signature and number of tables for labels of up to ``largest`` vectors."""
-    bits = min(30, max(6, math.ceil(math.log2(max(2, largest))) + 1))
+def plan_tables(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
+    """How many tables bring two vectors together with a chance of ``recall`` if their cosine is the threshold."""
     meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+@functools.lru_cache(maxsize=4)
 def hyperplanes(dimensions: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimensions]).standard_normal((dimensions, bits * tables))
 
@@ -40,8 +44,10 @@ def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.nda
     return (signs @ (1 << np.arange(bits))).astype(np.int32)
 
 
-def _vectors(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+def _vectors(blobs: list[bytes], kind: str) -> np.ndarray:
+    """Vectors in double precision, divided by their largest component, which no cosine sees and no square overflows with."""
+    x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
 
 def compare(x: np.ndarray, sx: np.ndarray, y: np.ndarray, sy: np.ndarray, table: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +79,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"), usable.alias("usable"))
     rows = rows.withColumn("key", F.when(F.col("usable"), F.sha2(F.to_json(F.struct(F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))), 256)))
 
+    # Single-precision input is kept as it is until it is compared, in double precision.
+    blob = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [np.array(x, "<f8").tobytes() for x in batch.column(3).to_pylist()]
+            blobs = [np.array(x, blob).tobytes() for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary()), batch.column(4)], ["label", "key", "rep", "vec", "n"])
 
     label_type = vectors.schema[label_col].dataType.simpleString()
@@ -83,8 +92,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     grouped = rows.where("usable").groupBy("label", "key").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.count("*").alias("n"))
     packed = grouped.select("label", "key", "rep", "v", "n").mapInArrow(pack, f"label {label_type}, key string, rep {id_type}, vec binary, n long")
     classes = stage(packed.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan_tables(largest, threshold, recall)
+    tables = plan_tables(threshold, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +101,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             out: list[list[int]] = [[]] * len(blobs)
             for n in np.unique(lengths):
                 at = np.nonzero(lengths == n)[0]
-                for k, s in zip(at, signatures(_vectors([blobs[k] for k in at]), bits, tables, seed)):
+                for k, s in zip(at, signatures(_vectors([blobs[k] for k in at], blob), BITS, tables, seed)):
                     out[k] = s.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["cid", "sigs"])
 
@@ -114,7 +122,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             one, two, table = key[1], key[2], key[3]
             tile = np.array([r[0] for r in rows])
             cid, n = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-            x, s = _vectors([r[2] for r in rows]), np.array([r[3] for r in rows], np.int32)
+            x, s = _vectors([r[2] for r in rows], blob), np.array([r[3] for r in rows], np.int32)
             a, b = np.nonzero(tile == one)[0], np.nonzero(tile == two)[0]
             i, j = compare(x[a], s[a], x[b], s[b], table, threshold, one == two)
             if not len(i):

@@ -72,3 +72,24 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (None, 0, None, True), (None, 0, None, True)], key=repr)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near.near_duplicates(empty).collect() == []
+
+
+def test_large_and_tiny_numbers_link(spark):
+    """Squares that overflow or vanish lose no link."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.0001e200], 1), (3, [1e-300, 1e-300], 1), (4, [1.0, -1.0], 1), (5, [5e-324, 0.0], 1)]
+    got = {r.id: (r.n_links, r.component) for r in near.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=0.9999999).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_the_chance_to_find_a_pair_is_the_planned_one():
+    """Pairs at the threshold, however many other vectors there are: signatures see only the two of them."""
+    rng = np.random.default_rng(4)
+    n, d, tables = 20_000, 32, near.plan_tables(0.93)
+    a = rng.standard_normal((n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((n, d))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
+    met = (near.signatures(a, near.BITS, tables, 17) == near.signatures(b, near.BITS, tables, 17)).any(axis=1)
+    assert met.mean() > 0.98
