@@ -105,9 +105,65 @@ FROM d
 """
 
 
+# ── parts of the queries above that SQL can express ──────────────────────────────────────────────────────────────────────
+
+
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5's base counts and verdict of every document."""
+    from doclake.llm.quality_rules import with_base_counts
+
+    counted = with_base_counts(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     k AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) > 4),
+     n AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(w[k:k + 4], ' ')) AS n FROM k),
+     r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM n WHERE n > 1) GROUP BY doc_id),
+     c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+     a AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a
+"""
+
+
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's bytes of every document, without its tokens."""
+    counted = op6_token_counts(spark, sf_dir)
+    return counted.select("doc_id", "n_bytes", (F.col("n_tokens") <= F.col("n_bytes")).alias("no_more_tokens_than_bytes"))
+
+
+TEXT_BYTES_SQL = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, true AS no_more_tokens_than_bytes FROM documents"
+
+
+def held_out_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents operator 8 never learns from, and which of them are labelled."""
+    from doclake.llm.quality_classifier import held_out
+
+    labels = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id").alias("held_out"))
+    return docs.join(labels, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+
+
+def _held_out_sql() -> str:
+    """The usual checksum by bytes, over a table of 256 remainders that the polynomial gives."""
+    remainders = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        remainders.append(n)
+    return f"""
+WITH t AS (SELECT {remainders}::BIGINT[] AS k),
+     c AS (SELECT doc_id, list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])) AS c FROM documents, t)
+SELECT doc_id, xor(c, 4294967295) % 5 = 0 AS held_out, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.doc_id AND quality IS NOT NULL) AS labelled FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    """All queries ``opN_``, and those that check a part of them by SQL."""
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {f.__name__: f for f in (base_counts, text_bytes, held_out_fold)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op10_warc": OP10_SQL, "base_counts": BASE_SQL, "text_bytes": TEXT_BYTES_SQL, "held_out_fold": _held_out_sql()}
