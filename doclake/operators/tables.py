@@ -1,56 +1,59 @@
-"""Worksheets as cells and merged ranges, rendered as Markdown, HTML or JSON.
+"""Worksheets as cells and merged ranges, and rendered as Markdown, HTML, records or JSON.
 
 cells(source, sheet, row, col, value) and merges(source, sheet, min_row, min_col, max_row, max_col), all counted from one.
-Cells that aren't there are empty. A sheet's rows are put together by two grouped aggregates, rows first. Null values are
-empty cells; a row of them is blank. Other columns play no part. Cells must not repeat a place of a sheet: where they do,
-one of the values stands in every row made of that place. Merges that repeat have no master. Empty tables give empty ones.
-Rows of null sources or sheets are left out, as they belong to no sheet.
+Cells that aren't there are empty. Null values are empty cells; a row of them is blank. Other columns play no part. Cells
+must not repeat a place of a sheet: where they do, any of the values stands there. Merges that repeat have no master. Empty
+tables give empty ones. Rows of null sources or sheets are left out, as they belong to no sheet. To be rendered, a sheet is
+put together in one task, by one shuffle of all cells and merges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from doclake.functions.text import escape_html, escape_md_cell, is_blank, safe_str
+from doclake.operators import sheets
 
-#: What names a sheet; ``keys`` may name it more closely where sources or sheets repeat.
 SHEET = ["source", "sheet"]
-BLANK = "&nbsp;"
 
 
-def drop_blank_rows(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+def drop_blank_rows(cells: DataFrame) -> DataFrame:
     """Without rows whose cells are all null."""
-    kept = cells.where(F.col("value").isNotNull()).select(*keys, "row").distinct()
-    return cells.join(kept, [*keys, "row"], "left_semi")
+    kept = cells.where(F.col("value").isNotNull()).select(*SHEET, "row").distinct()
+    return cells.join(kept, [*SHEET, "row"], "left_semi")
 
 
-def row_map(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+def row_map(cells: DataFrame) -> DataFrame:
     """(source, sheet, row, new_row): rows that stay, counted anew from one."""
-    rows = cells.where(F.col("value").isNotNull()).select(*keys, "row").distinct()
-    return rows.withColumn("new_row", F.row_number().over(Window.partitionBy(*keys).orderBy("row")))
+    rows = cells.where(F.col("value").isNotNull()).select(*SHEET, "row").distinct()
+    return rows.withColumn("new_row", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row")))
 
 
-def remap_rows(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    return cells.join(row_map(cells, keys), [*keys, "row"]).withColumn("row", F.col("new_row")).drop("new_row")
+def remap_rows(cells: DataFrame) -> DataFrame:
+    return cells.join(row_map(cells), [*SHEET, "row"]).withColumn("row", F.col("new_row")).drop("new_row")
 
 
-def remap_merges(merges: DataFrame, rows: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+def remap_merges(merges: DataFrame, rows: DataFrame) -> DataFrame:
     """Merges in the new rows; a merge that reaches over a dropped row, or past the last row, goes."""
-    spans = merges.select(*keys, "min_row", "min_col", "max_row", "max_col", F.explode(F.sequence("min_row", "max_row")).alias("row"))
-    found = spans.join(rows, [*keys, "row"]).groupBy(*keys, "min_row", "min_col", "max_row", "max_col").agg(F.count("*").alias("n"), F.min("new_row").alias("a"), F.max("new_row").alias("b"))
+    spans = merges.select(*SHEET, "min_row", "min_col", "max_row", "max_col", F.explode(F.sequence("min_row", "max_row")).alias("row"))
+    found = spans.join(rows, [*SHEET, "row"]).groupBy(*SHEET, "min_row", "min_col", "max_row", "max_col").agg(F.count("*").alias("n"), F.min("new_row").alias("a"), F.max("new_row").alias("b"))
     whole = found.where(F.col("n") == F.col("max_row") - F.col("min_row") + 1)
-    return whole.select(*keys, F.col("a").alias("min_row"), "min_col", F.col("b").alias("max_row"), "max_col")
+    return whole.select(*SHEET, F.col("a").alias("min_row"), "min_col", F.col("b").alias("max_row"), "max_col")
 
 
-def merge_map(merges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+def merge_map(merges: DataFrame) -> DataFrame:
     """A row per cell of a merge. Where merges overlap the first one (by row and column) has the cell, as no one's master."""
-    rows = merges.select(*keys, "min_row", "min_col", "max_row", "max_col", F.explode(F.sequence("min_row", "max_row")).alias("row"))
+    rows = merges.select(*SHEET, "min_row", "min_col", "max_row", "max_col", F.explode(F.sequence("min_row", "max_row")).alias("row"))
     legs = rows.select("*", F.explode(F.sequence("min_col", "max_col")).alias("col"))
     first = F.struct("min_row", "min_col", "max_row", "max_col")
-    held = legs.groupBy(*keys, "row", "col").agg(F.min(first).alias("m"), F.count("*").alias("n"))
+    held = legs.groupBy(*SHEET, "row", "col").agg(F.min(first).alias("m"), F.count("*").alias("n"))
     return held.select(
-        *keys,
+        *SHEET,
         "row",
         "col",
         "m.min_row",
@@ -61,147 +64,72 @@ def merge_map(merges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
     )
 
 
-def prepare(cells: DataFrame, merges: DataFrame, keys: list[str] = SHEET) -> tuple[DataFrame, DataFrame]:
+def prepare(cells: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells and merges without blank rows, rows counted anew."""
-    rows = row_map(cells, keys)
-    return cells.join(rows, [*keys, "row"]).withColumn("row", F.col("new_row")).drop("new_row"), remap_merges(merges, rows, keys)
+    rows = row_map(cells)
+    return cells.join(rows, [*SHEET, "row"]).withColumn("row", F.col("new_row")).drop("new_row"), remap_merges(merges, rows)
 
 
-def grid(cells: DataFrame, merges: DataFrame | None = None, keys: list[str] = SHEET) -> DataFrame:
-    """Every cell of a sheet's rectangle, with its value as text and its merge, if any. Merges widen the rectangle."""
-    width = cells.groupBy(*keys).agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
-    legs = None
+def whole_sheets(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(source, sheet, cells, merges): a row per sheet that has cells, put together by one shuffle."""
+    cell = F.struct("row", "col", "value").alias("cell")
+    merge = F.struct("min_row", "min_col", "max_row", "max_col").alias("merge")
+    rows = cells.select(*SHEET, cell, F.lit(None).cast("struct<min_row:int,min_col:int,max_row:int,max_col:int>").alias("merge"))
     if merges is not None:
-        legs = merge_map(merges, keys)
-        wide = merges.groupBy(*keys).agg(F.max("max_col").alias("wide"))
-        width = width.join(wide, keys, "left").withColumn("cols", F.greatest("cols", F.coalesce("wide", F.lit(0)))).drop("wide")
-    every = width.select(*keys, "rows", "cols", F.explode(F.sequence(F.lit(1), "rows")).alias("row")).select("*", F.explode(F.sequence(F.lit(1), "cols")).alias("col"))
-    full = every.join(cells.select(*keys, "row", "col", "value"), [*keys, "row", "col"], "left").withColumn("value", safe_str("value"))
-    return full.join(legs, [*keys, "row", "col"], "left") if legs is not None else full
+        rows = rows.unionByName(merges.select(*SHEET, F.lit(None).cast(cells.select(cell).schema[0].dataType).alias("cell"), merge))
+    whole = rows.where("source is not null and sheet is not null").groupBy(*SHEET).agg(F.collect_list("cell").alias("cells"), F.collect_list("merge").alias("merges"))
+    return whole.where("size(cells) > 0")
 
 
-def _rows(full: DataFrame, cell: Column, around: tuple[str | Column, str | Column, str], keys: list[str] = SHEET) -> DataFrame:
-    """(source, sheet, row, rows, cols, line): a row's cells in order, null ones left out, between two ends."""
-    start, end, mark = around
-    cells = F.array_sort(F.collect_list(F.when(F.col("__cell").isNotNull(), F.struct(F.col("col").alias("c"), F.col("__cell").alias("v")))))
-    lines = full.withColumn("__cell", cell).groupBy(*keys, "row", "rows", "cols").agg(F.array_join(F.transform(cells, lambda x: x["v"]), mark).alias("line"))
-    return lines.withColumn("line", F.concat(start if isinstance(start, Column) else F.lit(start), "line", F.lit(end)))
+def _rendered(cells: DataFrame, merges: DataFrame | None, schema: str, rows: Callable[[sheets.Sheet], list[tuple]]) -> DataFrame:
+    """(source, sheet, ...) with what ``rows`` makes of each sheet."""
+    kinds = T.StructType.fromDDL(schema)
+    names = ["source", "sheet", *kinds.names]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), *(to_arrow_type(f.dataType) for f in kinds)]
+        for batch in batches:
+            made = []
+            for source, sheet, held, spans in zip(*(batch.column(k) for k in range(4))):
+                cells = {(c["row"], c["col"]): c["value"] for c in held.as_py()}
+                one = sheets.Sheet(source.as_py(), sheet.as_py(), cells, [tuple(m.values()) for m in spans.as_py()])
+                made += [(one.source, one.name, *row) for row in rows(one)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
 
-def _sheets(lines: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("row", "line")))
-    return lines.groupBy(*keys, "rows", "cols").agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
+    return whole_sheets(cells, merges).mapInArrow(work, f"source string, sheet string, {schema}")
 
 
-def md_table(cells: DataFrame, merges: DataFrame | None = None, keys: list[str] = SHEET) -> DataFrame:
+def md_table(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
     """(source, sheet, markdown): a comment, then a table whose first row is the header.
 
     Without ``merges`` a literal backslash-n counts as a line break; with them only a merge's first cell has its value.
     """
-    full = grid(cells, merges, keys)
-    if merges is None:
-        text = escape_md_cell(F.replace("value", F.lit("\\n"), F.lit("\n")))
-        cell = F.when(F.col("value") == "", BLANK).otherwise(text)
-    else:
-        leg = F.coalesce(~F.col("is_master"), F.lit(False))
-        cell = F.when(leg | is_blank("value"), BLANK).otherwise(escape_md_cell("value"))
-    sheets = _sheets(_rows(full, cell, ("| ", " |", " | "), keys), keys)
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("cols")))
-    head = F.concat(F.lit("<!-- source: "), "source", F.lit(" | sheet: "), "sheet", F.lit(" | rows: "), F.col("rows") - 1, F.lit(" | cols: "), "cols", F.lit(" -->\n\n"))
-    body = F.array_join(F.concat(F.slice("lines", 1, 1), F.array(rule), F.slice("lines", F.lit(2), F.size("lines"))), "\n")
-    return sheets.select(*keys, F.concat(head, body).alias("markdown"))
-
-
-def html_table(cells: DataFrame, merges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+    enhanced = merges is not None
+    return _rendered(cells, merges, "markdown string", lambda s: [(sheets.markdown(s, enhanced),)])
+
+
+def html_table(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """(source, sheet, html): header and body with spans; cells below a merge's first one are left out."""
-    full = grid(cells, merges, keys)
-    master = F.coalesce("is_master", F.lit(False))
-    leg = F.coalesce(~F.col("is_master"), F.lit(False))
-    rows = F.when(F.col("rowspan") > 1, F.format_string(' rowspan="%d" data-rowspan="%d"', "rowspan", "rowspan")).otherwise("")
-    cols = F.when(F.col("colspan") > 1, F.format_string(' colspan="%d" data-colspan="%d"', "colspan", "colspan")).otherwise("")
-    place = F.format_string(' data-row="%d" data-col="%d"', "row", "col")
-    value = F.when(is_blank("value"), BLANK).otherwise(escape_html("value"))
-    # A merged header that spans no further row has no scope, unlike all other headers.
-    in_head = F.when(master & (F.col("rowspan") > 1), F.concat(F.lit(' scope="col"'), place, cols, rows)).when(master, F.concat(place, rows, cols)).otherwise(F.concat(F.lit(' scope="col"'), place))
-    in_body = F.when(master, F.concat(place, rows, cols)).otherwise("")
-    head = F.concat(F.lit("<th"), in_head, F.lit(">"), value, F.lit("</th>"))
-    body = F.concat(F.lit("<td"), in_body, F.lit(">"), value, F.lit("</td>"))
-    cell = F.when(leg, F.lit(None)).when(F.col("row") == 1, head).otherwise(body)
-    sheets = _sheets(_rows(full, cell, (F.format_string('<tr data-row="%d">', "row"), "</tr>", ""), keys), keys)
-    opening = F.concat(F.lit('<table border="1" class="excel-data" id="data-table" data-sheet="'), escape_html("sheet"), F.lit('" data-source="'), escape_html("source"), F.lit('">\n<thead>\n'))
-    html = F.concat(opening, F.get("lines", F.lit(0)), F.lit("\n</thead>\n<tbody>\n"), F.array_join(F.slice("lines", F.lit(2), F.size("lines")), "\n"), F.lit("\n</tbody>\n</table>"))
-    return sheets.select(*keys, html.alias("html"))
-
-
-def html_document(table: str | Column, title: str | Column) -> Column:
-    """A page around a table."""
-    style = "body{font-family:sans-serif}table{border-collapse:collapse}th,td{border:1px solid #ccc;padding:6px;white-space:pre-wrap}"
-    name = escape_html(title)
-    return F.concat(F.lit('<!DOCTYPE html>\n<html lang="zh-CN" data-sheet-name="'), name, F.lit('">\n<head>\n<meta charset="UTF-8">\n<title>'), name, F.lit(f"</title>\n<style>{style}</style>\n</head>\n<body>\n"), F.col(table) if isinstance(table, str) else table, F.lit("\n</body>\n</html>"))
-
-
-def table_records(cells: DataFrame, merges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+    return _rendered(cells, merges, "html string", lambda s: [(sheets.html_table(s),)])
+
+
+def table_records(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """A row per body cell: its header, key and value; a merge's other cells take its first cell's value.
 
     A blank header takes the first value below it; plain numbers and ``Unnamed: n`` become ``col_n``. A sheet with nothing
     but a header has no records.
     """
-    full = grid(cells, merges, keys)
-    below = full.where((F.col("value") != "")).groupBy(*keys, "col").agg(F.min_by("value", "row").alias("header"))
-    headers = full.where("row = 1").select(*keys, "col").join(below, [*keys, "col"], "left").withColumn("header", F.coalesce("header", F.lit("")))
-    generic = F.col("header").rlike(r"\A(Unnamed:\s*[0-9]+|[0-9]+)\z")
-    headers = headers.withColumn("header", F.when(generic, F.concat(F.lit("col_"), "col")).otherwise(F.col("header")))
-    masters = full.select(*keys, F.col("row").alias("min_row"), F.col("col").alias("min_col"), F.col("value").alias("master_value"))
-    body = full.where("row > 1").join(masters, [*keys, "min_row", "min_col"], "left").join(headers, [*keys, "col"])
-    merged = F.col("is_master").isNotNull()
-    return body.select(
-        *keys,
-        "row",
-        "col",
-        "header",
-        F.concat("header", F.lit("_col"), "col").alias("key"),
-        F.when(merged & ~F.col("is_master"), F.coalesce("master_value", F.lit(""))).otherwise(F.col("value")).alias("value"),
-        merged.alias("merged"),
-        F.coalesce(merged & ~F.col("is_master"), F.lit(False)).alias("skipped"),
-        F.when(F.col("is_master"), F.col("rowspan")).alias("rowspan"),
-        F.when(F.col("is_master"), F.col("colspan")).alias("colspan"),
-    )
-
+    schema = "row int, col int, header string, key string, value string, merged boolean, skipped boolean, rowspan int, colspan int"
+    return _rendered(cells, merges, schema, lambda s: [tuple(r.values()) for r in sheets.records(s)])
 
-def _inside(value: Column) -> Column:
-    """A JSON object's or array's text without its outer brackets."""
-    text = F.to_json(value)
-    return F.substring(text, F.lit(2), F.char_length(text) - 2)
 
-
-def json_table(cells: DataFrame, merges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+def json_table(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """(source, sheet, json): metadata, and a record per body row with its number, its cells in detail and its values by key.
 
     A sheet with nothing but a header has no data, and then no columns, headers or merges in its metadata either.
     """
-    detail = F.struct("value", "col", "header", "rowspan", "colspan", "merged", F.when(F.col("skipped"), True).alias("skipped"))
-    in_order = lambda key, value: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("col", key.alias("k"), value.alias("v")))), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))))
-    rows = table_records(cells, merges, keys).groupBy(*keys, "row").agg(
-        in_order(F.col("col").cast("string"), detail).alias("cells"),
-        in_order(F.col("key"), F.col("value")).alias("values"),
-        F.transform(F.array_sort(F.collect_list(F.struct("col", "header"))), lambda x: x["header"]).alias("headers"),
-    )
-    line = F.concat(F.lit('{"_row":'), "row", F.lit(',"_cells":'), F.to_json("cells"), F.lit(","), _inside(F.col("values")), F.lit("}"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda x: x["line"])
-    data = rows.groupBy(*keys).agg(ordered.alias("lines"), F.min_by("headers", "row").alias("headers"))
-    spot = F.struct(F.col("min_row").alias("row"), F.col("min_col").alias("col"), "rowspan", "colspan")
-    spots = merge_map(merges, keys).where("is_master").groupBy(*keys).agg(F.array_sort(F.collect_list(spot)).alias("merged"))
-    sheets = cells.select(*keys).distinct().join(data, keys, "left").join(spots, keys, "left")
-    none = F.col("lines").isNull()
-    meta = F.struct(
-        "sheet",
-        F.when(none, 0).otherwise(F.size("lines")).alias("total_rows"),
-        F.when(none, 0).otherwise(F.size("headers")).alias("total_columns"),
-        F.coalesce("headers", F.array().cast("array<string>")).alias("headers"),
-        F.when(none | F.col("merged").isNull(), F.array().cast("array<struct<row:int,col:int,rowspan:int,colspan:int>>")).otherwise(F.col("merged")).alias("merged_cells"),
-    )
-    body = F.array_join(F.coalesce("lines", F.array().cast("array<string>")), ",")
-    return sheets.select(*keys, F.concat(F.lit('{"metadata":'), F.to_json(meta), F.lit(',"data":['), body, F.lit("]}")).alias("json"))
+    return _rendered(cells, merges, "json string", lambda s: [(sheets.as_json(s),)])
 
 
 def json_book(tables: DataFrame) -> DataFrame:
@@ -213,5 +141,6 @@ def json_book(tables: DataFrame) -> DataFrame:
 
 
 def _quoted(text: str | Column) -> Column:
-    """A string as JSON."""
-    return _inside(F.array(F.col(text) if isinstance(text, str) else text))
+    """A string as JSON: an array's only element, without its brackets."""
+    inside = F.to_json(F.array(F.col(text) if isinstance(text, str) else text))
+    return F.substring(inside, F.lit(2), F.char_length(inside) - 2)
