@@ -11,7 +11,7 @@ import time
 from doclake import suite
 from doclake.session import session
 
-HEADLINE = ("fixed_chunks", "sentence_chunks", "heading_chunks", "heading_chunks_max", "clean_all", "image_refs", "apply_captions", "fallback_chain", "download_name", "unique_names", "table_records", "html_to_markdown")
+HEADLINE = ("fixed_chunks", "sentence_chunks", "heading_chunks", "heading_chunks_max", "clean_all", "image_refs", "apply_captions", "fallback_chain", "download_name", "unique_names", "table_records", "html_to_markdown", "order_tables", "convert_documents")
 
 
 def main() -> None:

@@ -34,6 +34,12 @@ def ipv4_private(host: str | Column) -> Column:
     return F.when(dotted, inside)
 
 
+def is_web(url: str | Column) -> Column:
+    """Whether an address is one of the web, http or https, whatever its case; a path or a null is none."""
+    scheme = F.lower(F.regexp_extract(F.trim(col(url)), r"\A([^:/]*)://", 1))
+    return F.coalesce(scheme.isin("http", "https"), F.lit(False))
+
+
 def is_private(ip: Address) -> bool:
     flags = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_unspecified or ip.is_multicast
     return flags or any(ip.version == net.version and ip in net for net in EXTRA_NETS)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclake.config import ChunkSettings, Settings
@@ -17,6 +17,7 @@ from doclake.functions.addresses import ipv4_private
 from doclake.functions.text import NOT_WS, WS, charset, escape_html, escape_md_cell
 from doclake.operators import chunking, cleaning, metrics, naming, routing, tables, texts
 from doclake.plans import convert
+from doclake.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -350,7 +351,18 @@ def url_private_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", host.alias("host")).withColumn("private", ipv4_private("host"))
 
 
-_CTYPE = "({0})[page_id % 5 + 1]"
+@query(
+    """WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' ' || url || ' ' WHEN 1 THEN replace(url, 'http', 'HTTP') WHEN 2 THEN replace(url, 'http', 'ftp') ELSE '/in/page-' || page_id || '.html' END AS source FROM pages)
+SELECT page_id, trim(source) AS source FROM u WHERE regexp_matches(trim(source), '\\A(?i:https?)://')"""
+)
+def web_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the web among others and among paths."""
+    kind = F.col("page_id") % 4
+    source = F.when(kind == 0, F.concat(F.lit(" "), "url", F.lit(" "))).when(kind == 1, F.replace("url", F.lit("http"), F.lit("HTTP"))).when(kind == 2, F.replace("url", F.lit("http"), F.lit("ftp")))
+    named = table(spark, sf_dir, "pages").select("page_id", source.otherwise(F.concat(F.lit("/in/page-"), F.col("page_id").cast("string"), F.lit(".html"))).alias("source"))
+    return readers.web_only(named)[0]
+
+
 _CTYPES = ["text/html", "text/html; charset=GBK", 'text/html; charset="utf-8"', "text/html; Charset= 'latin-1'", ""]
 
 
@@ -521,6 +533,22 @@ def json_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.json_book(tables.json_table(*_sheets(spark, sf_dir)))
 
 
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus, '| ' || l_partkey || ' | ' || l_returnflag || ' | ' || l_linestatus || ' |' AS line FROM lineitem),
+     t AS (SELECT l_orderkey, count(*) AS n, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS t FROM r GROUP BY l_orderkey)
+SELECT 'orders.xlsx' AS source, l_orderkey::VARCHAR AS sheet, '<!-- source: orders.xlsx | sheet: ' || l_orderkey || ' | rows: ' || n || ' | cols: 3 -->' || chr(10) || chr(10) || '| part | flag | status |' || chr(10) || '| --- | --- | --- |' || chr(10) || t AS markdown FROM t"""
+)
+def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet per order with a header and a row per line item, from cells."""
+    text = lambda c: F.col(c).cast("string")
+    lines = table(spark, sf_dir, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))
+    body = lines.select("l_orderkey", (place + 1).alias("row"), F.array(text("l_partkey"), "l_returnflag", "l_linestatus").alias("v"))
+    heads = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(1).alias("row"), F.array(F.lit("part"), F.lit("flag"), F.lit("status")).alias("v"))
+    cells = body.unionByName(heads).select("l_orderkey", "row", F.posexplode("v").alias("c", "value"))
+    return tables.md_table(cells.select(F.lit("orders.xlsx").alias("source"), text("l_orderkey").alias("sheet"), "row", (F.col("c") + 1).alias("col"), "value"))
+
+
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as Markdown, as the breadth reader makes it."""
