@@ -1,4 +1,4 @@
-"""Image references in Markdown, and images as data addresses."""
+"""Image references in Markdown, and images as data addresses. A null text is an empty one; null bytes are no image."""
 
 from __future__ import annotations
 
@@ -57,10 +57,10 @@ def image_mime(head: str | Column) -> Column:
 
 
 def data_uri(url: str | Column, content: str | Column) -> Column:
-    """An image's bytes as a data address; anything without bytes of an image keeps its address."""
+    """An image's bytes as a data address on one line; anything without bytes of an image keeps its address."""
     mime = image_mime(content)
     plain = col(url).startswith("data:") | mime.isNull()
-    return F.when(F.coalesce(plain, F.lit(True)), col(url)).otherwise(F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(col(content))))
+    return F.when(F.coalesce(plain, F.lit(True)), col(url)).otherwise(F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(col(content)), F.lit("\r\n"), F.lit(""))))
 
 
 def needs_caption(markdown: str | Column) -> Column:

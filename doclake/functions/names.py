@@ -1,4 +1,4 @@
-"""Names of sources and files."""
+"""Names of sources and files. A null gives a null, except where a name is asked to be blank: that is ``untitled``."""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Extras for judging chunks: coverage and redundancy, retrieval metrics, and the headings above a section."""
+"""Extras for judging chunks: coverage and redundancy, retrieval metrics, and the headings above a section.
+
+Null and empty texts have no chunks and no coverage. Nulls among answers count as irrelevant. Keys name texts and queries:
+rows that share one belong together, and rows with a null key are one text of their own, or none where tables are joined.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""File names that don't collide within a batch."""
+"""File names that don't collide within a batch.
+
+Other columns are kept, but a column with the name of the new one is replaced. Null names stay null, rows that are equal in
+name and order get their numbers in any order, and an empty table stays empty. A name that very many rows share is numbered
+in one task, which holds no more than those rows' order at a time.
+"""
 
 from __future__ import annotations
 

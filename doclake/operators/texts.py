@@ -1,4 +1,4 @@
-"""Whole-text conversions in Arrow batches."""
+"""Whole-text conversions in Arrow batches. Rows may repeat, other columns are kept, and one with the new name is replaced."""
 
 from __future__ import annotations
 
