@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -16,7 +16,7 @@ from doclake.session import shared_folder
 from doclake.session import staged as stage
 from doclake.session import unstage as drop_stage
 
-__all__ = ["Memo", "drop_stage", "partitions", "plain_words", "released", "scratch", "stage", "text_slices", "tokenizer", "tokenizer_path"]
+__all__ = ["Memo", "drop_stage", "partitions", "plain_words", "released", "scratch", "stage", "text_slices", "tokenizer", "tokenizer_path", "trimmed"]
 
 #: Entries that one generation of a memo may hold, and the longest key it takes: at most some 0.7 KB an entry, 0.2 typically.
 MEMO_ENTRIES = 100_000
@@ -56,18 +56,29 @@ class Memo(dict):
 
 
 @contextlib.contextmanager
-def released(tool) -> Iterator:
+def released(tool=None) -> Iterator:
     """``tool`` for one task; afterwards its memos are empty, and the worker, which may idle for long, gives memory back."""
     try:
         yield tool
     finally:
-        tool.forget()
+        if tool is not None:
+            tool.forget()
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(work: Callable) -> Callable:
+    """``work`` over a task's batches, which gives memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released():
+            yield from work(batches)
+
+    return run
+
+
 def plain_words(text: str) -> list[str] | None:
     """The words of a text that holds nothing between them but single blanks and line feeds; None for any other text.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from doclake.llm.common import text_slices
+from doclake.llm.common import text_slices, trimmed
 
 #: Hashed features are this many; the last slot is the bias.
 DIMENSIONS = 1 << 18
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["id", "y", "at", "n"])
 
     kind = StructType([StructField("id", docs.schema[id_col].dataType), StructField("y", DoubleType())])
-    made = texts.select("id", "text", "y").mapInArrow(features, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", at binary, n binary")
+    made = texts.select("id", "text", "y").mapInArrow(trimmed(features), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", at binary, n binary")
     sample = made.orderBy(F.xxhash64("id"), "id", F.xxhash64("at")).limit(rows).coalesce(1)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +97,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         for batch in batches:
             for y, at, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 n = np.frombuffer(n, "<i4").astype(np.float64)
-                rows.append((np.append(np.frombuffer(at, "<i4"), DIMENSIONS - 1), np.append(n / np.sqrt(max(n.sum(), 1)), 1.0), y))
+                rows.append((np.append(np.frombuffer(at, "<i4"), np.int32(DIMENSIONS - 1)), np.append(n / np.sqrt(max(n.sum(), 1)), 1.0), y))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([learnt(rows, epochs).astype("<f8").tobytes()], pa.binary())], ["w"])
 
-    found = sample.mapInArrow(fit, "w binary").collect()
+    found = sample.mapInArrow(trimmed(fit), "w binary").collect()
     return np.frombuffer(found[0].w, "<f8") if found else np.zeros(DIMENSIONS)
 
 
@@ -114,29 +114,35 @@ def learnt(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCH
     return model.weights()
 
 
-def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score`` from 0 to 1, made from each whole text alone; empty and null texts get the bias's score."""
-    names = [c for c in docs.columns if c != score_col]
+def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``score`` from 0 to 1, made from each whole text alone; empty and null texts get the bias's score.
+
+    ``keep`` names the columns that stay, if not all of them; texts that go needn't come back from the workers.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     out = StructType([*(docs.schema[c] for c in names), StructField(score_col, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.full(batch.num_rows, weights[DIMENSIONS - 1])
-            for k, text in enumerate(batch.column(len(names))):
-                at = indices(text.as_py())
-                if len(at):
-                    scores[k] += weights[at].sum() / np.sqrt(len(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], out.names)
+            for part in text_slices(batch, len(names)):
+                scores = np.full(part.num_rows, weights[DIMENSIONS - 1])
+                for k, text in enumerate(part.column(len(names))):
+                    at = indices(text.as_py())
+                    if len(at):
+                        scores[k] += weights[at].sum() / np.sqrt(len(at))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], out.names)
 
     # Numbered names, as a column of the documents may have any name.
     numbered = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
-    return docs.select(*numbered, F.col(text_col).cast("string").alias("text")).mapInArrow(work, out)
+    return docs.select(*numbered, F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(work), out)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with held_out, score and predicted (1 where score >= threshold); columns of these names are replaced.
 
+    ``keep`` names the columns that stay, if not all of them; the id must be one of them.
+
     Every row is scored, repeated ones alike, whatever its other columns hold; an empty table stays empty.
     """
-    scored = with_score(docs, train(docs, labels, label_col, id_col, text_col, rows), text_col)
+    scored = with_score(docs, train(docs, labels, label_col, id_col, text_col, rows), text_col, keep=keep)
     return scored.withColumns({"held_out": held_out(id_col), "predicted": (F.col("score") >= threshold).cast("int")})
