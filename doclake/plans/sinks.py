@@ -47,13 +47,18 @@ def result_lines(results: DataFrame, chunks: DataFrame | None = None, with_markd
 
 
 def write_results(results: DataFrame, folder: str, ext: str = "md") -> DataFrame:
-    """Writes a file per result that isn't an error and returns results with ``output_paths``.
+    """Writes a file per result that isn't an error, or one per sheet where it has several parts; returns results with ``output_paths``.
 
     Equal names get numbers. A file that can't be written leaves a warning and degrades its result; its text stays.
     ``folder`` must be one that all executors share. Writing happens when the returned rows are read, again if they are
     read twice.
     """
-    named = unique_names(results.where("status <> 'error'").select("row", "markdown", F.struct("source", "row").alias("place"), names.download_name("source", ext).alias("name")), "name", "place")
+    stem = names.download_stem("source")
+    of_sheets = F.transform("parts", lambda p, k: F.struct(k.alias("k"), p.alias("text"), F.concat(stem, F.lit("_"), names.clean_filename(F.get("sheets", k)["sheet"])).alias("stem")))
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.col("markdown").alias("text"), stem.alias("stem")))
+    files = results.where("status <> 'error'").select("row", "source", F.explode(F.when(F.size("parts") > 1, of_sheets).otherwise(whole)).alias("f"))
+    placed = files.select("row", "f.k", "f.text", F.struct("source", "row", "f.k").alias("place"), F.concat("f.stem", F.lit("." + ext)).alias("name"))
+    named = unique_names(placed, "name", "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -61,7 +66,7 @@ def write_results(results: DataFrame, folder: str, ext: str = "md") -> DataFrame
         system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for batch in batches:
             paths, problems = [], []
-            for name, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for name, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 path, problem = f"{root}/{name}", None
                 try:
                     system.create_dir(root, recursive=True)
@@ -71,15 +76,17 @@ def write_results(results: DataFrame, folder: str, ext: str = "md") -> DataFrame
                     path, problem = None, f"writing {name} failed: {e}"
                 paths.append(path)
                 problems.append(problem)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(problems, pa.string())], ["row", "path", "problem"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(paths, pa.string()), pa.array(problems, pa.string())], ["row", "k", "path", "problem"])
 
-    written = named.select("row", "unique_name", "markdown").mapInArrow(work, "row long, path string, problem string")
-    joined = results.join(written, "row", "left")
-    broken = F.col("problem").isNotNull()
+    written = named.select("row", "k", "unique_name", "text").mapInArrow(work, "row long, k int, path string, problem string")
+    listed = lambda c: F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]))
+    joined = results.join(written.groupBy("row").agg(listed("path").alias("paths"), listed("problem").alias("problems")), "row", "left")
+    none = F.array().cast("array<string>")
+    broken = F.size(F.coalesce("problems", none)) > 0
     return joined.withColumns(
         {
-            "output_paths": F.array_compact(F.array("path")),
-            "warnings": F.concat("warnings", F.array_compact(F.array("problem"))),
+            "output_paths": F.coalesce("paths", none),
+            "warnings": F.concat("warnings", F.coalesce("problems", none)),
             "status": F.when(broken & (F.col("status") == "ok"), "degraded").otherwise(F.col("status")),
         }
-    ).drop("path", "problem")
+    ).drop("paths", "problems")

@@ -149,6 +149,15 @@ def test_sinks(spark, tmp_path):
     assert "markdown" not in json.loads(sinks.result_lines(results, None, False).first().line)
 
 
+def test_a_file_for_each_sheet(spark, tmp_path):
+    book = workbook({"One": [["h"], ["x"]], "T/wo": [["k"], ["y"]], "T:wo": [["k"], ["z"]], "Empty": [[]]})
+    df = spark.createDataFrame([("/in/b.xlsx", book), ("/in/c.xlsx", workbook({"S": [["h"], ["x"]]}))], "source string, content binary")
+    results, _ = run(df, Settings(output_dir=str(tmp_path)))
+    got = by_source(sinks.write_results(results, str(tmp_path)))
+    assert [Path(p).name for p in got["b.xlsx"].output_paths] == ["b_One.md", "b_T_wo.md", "b_T_wo_1.md"] and got["b.xlsx"].status == "ok"
+    assert Path(got["b.xlsx"].output_paths[2]).read_text().endswith("| z |") and [Path(p).name for p in got["c.xlsx"].output_paths] == ["c.md"]
+
+
 def test_command(spark, tmp_path):
     Path(tmp_path, "a.md").write_text("text\n\n\n\nmore")
     said: list[str] = []
