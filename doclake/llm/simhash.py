@@ -13,7 +13,6 @@ where no text of one can be similar to any of the other.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,16 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from doclake.arrow import text_slices
-from doclake.llm.common import drop_stage, scratch, stage
+from doclake.llm.common import drop_stage, scratch, stage, trimmed
 from doclake.llm.components import connected_components, forest
 
 #: Fingerprints in a tile at most, about; where texts are verified, as many fewer as their shingles fill a tile.
-TILE = 65_536
+TILE = 16_384
 TILE_SHINGLES = 1 << 22
+#: Shingles that a comparison of two tiles keeps, about, of texts that it has read.
+KEPT_SHINGLES = 1 << 18
 #: Rows of a block that numpy compares at once.
 BLOCK = 256
-#: Tiles that one task compares a tile with.
-PARTNERS = 8
+#: Tiles that one row of work compares a tile with.
+PARTNERS = 4
 _PENDING = 1 << 18
 #: Cells of the four quarters' counts, and steps of size, each a 64th larger than the one before.
 CELLS, STEP = 17**4, 1 + 1 / 64
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bits = b"".join([fingerprint(t.as_py(), shingle_words, seed) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(bits, ">i8").astype(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, out)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(work), out)
 
 
 # ── comparing ────────────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -262,8 +263,8 @@ def write_tiles(rows: DataFrame, folder: str, tiles: int) -> None:
             close()
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], ["tile"])
 
-    dealt = rows.select("tile", "uid", "fp", "fp2", "n", "data").repartition(max(1, tiles), "tile").sortWithinPartitions("tile", "uid")
-    dealt.mapInArrow(work, "tile int").count()
+    dealt = rows.select("tile", "uid", "fp", "fp2", "n", "data").repartitionById(max(1, tiles), "tile").sortWithinPartitions("uid")
+    dealt.mapInArrow(trimmed(work), "tile int").count()
 
 
 class Tile:
@@ -301,7 +302,9 @@ def tile_edges(spark, folder: str, tiling: Tiling, compare: Callable[[Tile, Tile
                         yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["a", "b"])
 
     tasks = max(1, min(units[-1], 10_000))
-    return spark.range(0, units[-1], 1, tasks).mapInArrow(work, "a long, b long")
+    edges = spark.range(0, units[-1], 1, tasks).mapInArrow(trimmed(work), "a long, b long")
+    edges._doclake_path = folder  # drop_stage deletes the tiles
+    return edges
 
 
 def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
@@ -345,7 +348,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     """
     marked = stage(fingerprints(docs, id_col, text_col, shingle_words, seed), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    roots = connected_components(near_links(distinct, radius))
+    edges = near_links(distinct, radius)
+    roots = connected_components(edges)
+    drop_stage(edges)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "named")
     linked = named.groupBy("root").agg(F.min("rep").alias("component"))
@@ -377,7 +382,8 @@ class Verifier:
     def __call__(self, a: Tile, b: Tile | None) -> tuple[np.ndarray, np.ndarray]:
         sides = (a, a if b is None else b)
         up: dict[int, int] = {}
-        kept: tuple[dict[int, set], dict[int, set]] = ({}, {})
+        kept: dict[tuple[int, int], set] = {}
+        room = KEPT_SHINGLES
         links: list[tuple[int, int]] = []
 
         def root(x: int) -> int:
@@ -387,11 +393,14 @@ class Verifier:
             return x
 
         def shingles(side: int, k: int) -> set:
-            got = kept[side].get(k)
+            nonlocal room
+            got = kept.get((side, k))
             if got is None:
-                if sum(map(len, kept[side].values())) > TILE_SHINGLES // 8:
-                    kept[side].clear()
-                got = kept[side][k] = shingle_set(unpacked(sides[side].data(k)), self.words)
+                if room < 0:
+                    kept.clear()
+                    room = KEPT_SHINGLES
+                got = kept[side, k] = shingle_set(unpacked(sides[side].data(k)), self.words)
+                room -= len(got)
             return got
 
         for i, j in close_pairs(a.wide, None if b is None else b.wide, self.radius):
@@ -444,18 +453,22 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
 
         for batch in batches:
             for part in text_slices(batch, 1):
-                words = [words_of(t.as_py()) for t in part.column(1)]
-                keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                bits = np.frombuffer(b"".join([_fingerprint(w, shingle_words, seed, 128) for w in words]), ">i8").astype(np.int64).reshape(-1, 2)
-                sizes = [len(shingle_set(w, shingle_words)) for w in words]
+                keys, prints, sizes = [], [], []
+                for text in part.column(1):
+                    words = words_of(text.as_py())
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    prints.append(_fingerprint(words, shingle_words, seed, 128))
+                    sizes.append(len(shingle_set(words, shingle_words)))
+                bits = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array(sizes, pa.int64())], ["id", "key", "fp", "fp2", "n"])
 
     out = StructType([StructField("id", kind), StructField("key", BinaryType()), StructField("fp", LongType()), StructField("fp2", LongType()), StructField("n", LongType())])
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = stage(source.mapInArrow(mark, out), "marked")
+    marked = stage(source.mapInArrow(trimmed(mark), out), "marked")
     distinct = stage(marked.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
     edges = _similar_edges(source, distinct, similarity, shingle_words, radius, spark)
     roots = connected_components(edges).withColumnRenamed("node", "uid")
+    drop_stage(edges)
     named = stage(distinct.join(roots, "uid", "left").select("key", "rep", F.coalesce("root", "uid").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     of = stage(named.join(least, "root").select("key", "component"), "components")
@@ -489,5 +502,5 @@ def _similar_edges(source: DataFrame, distinct: DataFrame, similarity: float, sh
 
     first = worded.select(F.col("rep").alias("id"), "fp", "fp2", "n", "uid").join(source, "id").select("fp", "fp2", "n", "uid", "text")
     folder = scratch(spark, "tiles")
-    write_tiles(first.mapInArrow(place, "tile int, uid long, fp long, fp2 long, n long, data binary"), folder, len(tiling))
+    write_tiles(first.mapInArrow(trimmed(place), "tile int, uid long, fp long, fp2 long, n long, data binary"), folder, len(tiling))
     return tile_edges(spark, folder, tiling, Verifier(radius, similarity, shingle_words))

@@ -49,7 +49,7 @@ def test_query_equals_brute_force(spark, sf_dir, documents):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("tile", [7, 65_536])
+@pytest.mark.parametrize("tile", [7, 16_384])
 def test_tiles_lose_no_link(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
     monkeypatch.setattr(simhash, "BLOCK", 5)
