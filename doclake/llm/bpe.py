@@ -1,8 +1,9 @@
 """Exact byte-pair token ids and counts at the speed of a dictionary.
 
-A tokenizer treats the text between two white-space characters on its own, so its ids are remembered per run: a text whose
-runs are parted by single blanks or line feeds is looked up run by run, and any other text, or one that may hold a special
-string, goes to the library whole. Both ways give the library's own ids. Memos are bounded, see ``Memo``.
+A tokenizer treats the text between two white-space characters on its own, so ids are made once for each distinct run of a
+batch: a text whose runs are parted by single blanks or line feeds is looked up run by run, and any other text, or one that
+may hold a special string, goes to the library whole. Both ways give the library's own ids. The counter's memos are bounded,
+see ``Memo``.
 """
 
 from __future__ import annotations
@@ -79,6 +80,10 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)
 
 
+#: Bytes of text, about, whose runs are made distinct together.
+TOGETHER = 8 << 20
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, as ``tokenizers`` gives them without special tokens.
 
@@ -88,7 +93,7 @@ class Encoder:
     def __init__(self, name: str, spaced: bool):
         self.lib = tokenizer(name)
         self.model = self.lib.model.tokenize
-        self.memo, self.tails = Memo(), _Tails(self.lib)
+        self.tails = _Tails(self.lib)
         self.spaced = spaced
         self.bytes = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(256)}
         self.blank = np.zeros(self.lib.get_vocab_size(), bool)
@@ -99,7 +104,8 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each has; null and empty texts have none.
 
-        Runs are made distinct first, so the memo is asked once for each of them.
+        Runs are made distinct first, and nothing but ids of short signs is remembered from one call to the next: in large
+        corpora most words are rare, and a memo costs more than it saves.
         """
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
@@ -123,41 +129,33 @@ class Encoder:
         if not len(runs):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         coded = runs.dictionary_encode()
-        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        ids = list(map(self.memo.get, words))
-        if None in ids:
-            new = self.learn([word for word, known in zip(words, ids) if known is None])
-            ids = [new[word] if known is None else known for word, known in zip(words, ids)]
-            keep = self.memo.keep
-            for word, known in new.items():
-                keep(word, known)
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = self.learn(words)
+        ids = list(map(found.__getitem__, words))
         flat = np.frombuffer(b"".join(ids), "<u4")
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         per_run = lengths[codes]
         return flat[spans((np.cumsum(lengths) - lengths)[codes], per_run)], per_run
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of runs that aren't remembered.
+        """Ids of distinct runs.
 
         A word of plain letters, with or without signs behind it, goes to the model itself, as its normal form is known.
         Of the others, many are encoded as one text and cut apart again where the next one starts.
         """
         found: dict[str, bytes] = {}
-        old, tails, model = self.memo.old, self.tails, self.model
-        rest = []
+        tails, model, rest = self.tails, self.model, []
         for run in new:
-            ids = old.get(run)
+            body = run.rstrip(_SIGNS)
+            if not body.isalpha() or not (body.isascii() or max(body) <= "ÿ"):
+                rest.append(run)
+                continue
+            ids = found.get(body)
             if ids is None:
-                body = run.rstrip(_SIGNS)
-                if not body.isalpha() or not (body.isascii() or max(body) <= "ÿ"):
-                    rest.append(run)
-                    continue
-                ids = found.get(body)
-                if ids is None:
-                    got = [t.id for t in model((" " + body if self.spaced else body.lower()).translate(self.bytes))]
-                    ids = _PACK[len(got)](*got) if len(got) < len(_PACK) else np.array(got, "<u4").tobytes()
-                if len(body) < len(run):
-                    ids += tails[run[len(body) :]]
+                got = [t.id for t in model((" " + body if self.spaced else body.lower()).translate(self.bytes))]
+                ids = _PACK[len(got)](*got) if len(got) < len(_PACK) else np.array(got, "<u4").tobytes()
+            if len(body) < len(run):
+                ids += tails[run[len(body) :]]
             found[run] = ids
         if self.spaced:
             joined = [run for run in rest if run[0] not in "\n\r"]
@@ -171,7 +169,6 @@ class Encoder:
         return found
 
     def forget(self) -> None:
-        self.memo.forget()
         self.tails.clear()
 
     def apart(self, runs: list[str]) -> list[bytes]:

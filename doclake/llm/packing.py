@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.bpe import encoder
+from doclake.llm.bpe import TOGETHER, encoder
 from doclake.llm.common import drop_stage, released, stage, text_slices
 
 CAPACITY = 1024
@@ -103,7 +103,9 @@ def _swept(rows: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(size, pa.int32()), pa.array(key, pa.int64()), pa.array(gap, pa.int32()), pa.array(sequence, pa.int64())], names)
 
     order = ["down", "kind", "key"]
-    return rows.select((-F.col("size")).alias("down"), "kind", "key").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(work, _SWEPT)
+    keyed = rows.select((-F.col("size")).alias("down"), "kind", "key")
+    dealt = keyed.repartitionByRange(ranges, *order) if ranges > 1 else keyed.coalesce(1)  # one range needs no shuffle
+    return dealt.sortWithinPartitions(*order).mapInArrow(work, _SWEPT)
 
 
 def _settled(swept: DataFrame, carry: Carry, crowd: int, opened: dict[int, int], capacity: int) -> DataFrame:
@@ -151,8 +153,9 @@ def _settled(swept: DataFrame, carry: Carry, crowd: int, opened: dict[int, int],
     alone = rows.where("pair < 0").select(F.explode(F.when(c("kind") == PLACED, found).when(c("opens"), fresh).otherwise(left)).alias("r")).select("r.*")
     if carry.pairs:
         tasks = -(-carry.pairs * (crowd + 1) // RANGE_ROWS)
-        met = rows.where("pair >= 0").select("pair", "kind", "rank", "size", "key").repartition(tasks, "pair").sortWithinPartitions("pair", "kind", "rank")
-        alone = alone.unionByName(met.mapInArrow(settle, _STATE))
+        met = rows.where("pair >= 0").select("pair", "kind", "rank", "size", "key")
+        dealt = met.repartition(tasks, "pair") if tasks > 1 else met.coalesce(1)
+        alone = alone.unionByName(dealt.sortWithinPartitions("pair", "kind", "rank").mapInArrow(settle, _STATE))
     return alone.where(f"kind <> {GAP} or size > 0")
 
 
@@ -215,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with released(encoder(tokenizer, spaced)) as enc:
             for batch in batches:
-                for part in text_slices(batch, 1):
+                for part in text_slices(batch, 1, TOGETHER):
                     rows: list[tuple[int, int, int, int, int]] = []
                     ids, counts = enc.encode(part.column(1))
                     data, stops = memoryview(ids.tobytes()), 4 * np.cumsum(counts)

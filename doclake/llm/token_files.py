@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.bpe import encoder
+from doclake.llm.bpe import TOGETHER, encoder
 from doclake.llm.common import partitions, released, scratch, stage, text_slices
 
 MAGIC = b"DLTOK001"
@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         out = None
         with released(encoder(tokenizer, spaced)) as enc:
             for batch in batches:
-                for part in text_slices(batch, 1):
+                for part in text_slices(batch, 1, TOGETHER):
                     out = out or _Writer(folder, TaskContext.get().partitionId(), bits)
                     ids, counts = enc.encode(part.column(1))
                     data, stops = memoryview(ids.tobytes()), 4 * np.cumsum(counts)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from doclake.llm import bpe, packing, queries, token_counts, token_files
-from doclake.llm.common import Memo, scratch, text_slices
+from doclake.llm.common import scratch, text_slices
 
 LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in ("word_bpe_49k.json", "byte_bpe_50k.json")}
 
@@ -44,13 +44,17 @@ def test_counts_are_the_librarys(found):
 
 
 def test_memo_forgets_and_stays_right():
+    counter = bpe.MergeCounter("byte_bpe_50k.json")
+    counter.limit = counter.words.limit = 3
+    for text in ("one two three four", "two, five six", "one two", "seven eight nine one", "x" * 100, "one\ttwo three four five"):
+        assert counter.count(text) == len(ids_of("byte_bpe_50k.json", text))
+        assert all(len(memo) <= 3 and len(memo.old) <= 3 and all(len(k) <= 64 for k in memo) for memo in (counter, counter.words))
+    counter.forget()
+    assert not counter and not counter.old and not counter.words and not counter.words.old
     encoder = bpe.Encoder("word_bpe_49k.json", False)
-    encoder.memo = Memo(limit=3)
-    for text in ("one two three four", "two, five six", "one two", "seven eight nine one", "x" * 100):
-        assert encoder.encode(pa.array([text]))[0].tolist() == ids_of("word_bpe_49k.json", text)
-        assert len(encoder.memo) <= 3 and len(encoder.memo.old) <= 3
+    assert encoder.encode(pa.array(["one, two!"]))[0].tolist() == ids_of("word_bpe_49k.json", "one, two!") and encoder.tails
     encoder.forget()
-    assert not encoder.memo and not encoder.memo.old and not encoder.tails
+    assert not encoder.tails
 
 
 def test_slices_cover_a_batch():
