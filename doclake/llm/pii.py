@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
+from doclake.llm.common import text_slices, trimmed
+
 ROUNDS = 8
 
 
@@ -326,20 +328,21 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = pseudonyms(key)
         for batch in batches:
-            texts, counts = [], []
-            for value in batch.column(place):
-                text, found = value.as_py(), {}
-                if text and _HINT.search(text):
-                    text, found = tool.replace(text, undo)
-                texts.append(text)
-                counts.append(found)
-            columns = list(batch.columns)
-            columns[place] = pa.array(texts, pa.string())
-            if replaced_col is not None:
-                columns.append(pa.array([sum(c.values()) for c in counts], pa.int32()))
-            if kinds_col is not None:
-                columns.append(pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, out.names)
+            for part in text_slices(batch, place):
+                texts, counts = [], []
+                for value in part.column(place):
+                    text, found = value.as_py(), {}
+                    if text and _HINT.search(text):
+                        text, found = tool.replace(text, undo)
+                    texts.append(text)
+                    counts.append(found)
+                columns = list(part.columns)
+                columns[place] = pa.array(texts, pa.string())
+                if replaced_col is not None:
+                    columns.append(pa.array([sum(c.values()) for c in counts], pa.int32()))
+                if kinds_col is not None:
+                    columns.append(pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, out.names)
 
     numbered = [F.col(f"`{c}`").cast("string" if c == text_col else docs.schema[c].dataType).alias(f"c{k}") for k, c in enumerate(names)]
-    return docs.select(*numbered).mapInArrow(work, out)
+    return docs.select(*numbered).mapInArrow(trimmed(work), out)
