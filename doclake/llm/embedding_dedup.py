@@ -24,8 +24,11 @@ from doclake.llm.components import connected_components, forest
 #: Classes in a tile of a bucket at most, about.
 TILE = 1_024
 RECALL = 0.99
-#: Sign bits of a signature: buckets of a label are a 4096th of it where its vectors have nothing in common.
-BITS = 12
+#: Sign bits of a signature: buckets of a label are a 16,384th of it where its vectors have nothing in common.
+BITS = 14
+#: Groups up to this size are compared many at once, so many pairs at a time.
+SMALL = 32
+PAIRS = 1 << 15
 
 
 def plan_tables(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
@@ -50,16 +53,8 @@ def _vectors(blobs: list[bytes], kind: str) -> np.ndarray:
     return x / np.abs(x).max(axis=1, keepdims=True)
 
 
-def compare(x: np.ndarray, sx: np.ndarray, y: np.ndarray, sy: np.ndarray, table: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with cosine >= threshold that no table before ``table`` has brought together."""
-    cosine = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-    i, j = np.nonzero(cosine >= threshold)
-    if same:
-        i, j = i[i < j], j[i < j]
-    if table and len(i):
-        first = ~(sx[i, :table] == sy[j, :table]).any(axis=1)
-        i, j = i[first], j[first]
-    return i, j
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", recall: float = RECALL, seed: int = 17) -> DataFrame:
@@ -118,17 +113,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     dealt = loaded.select(*order, F.col("label").cast("string").alias("label"), "tile", "cid", "vec", "sigs", "n").repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions(*order, "label")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches):
-            one, two, table = key[1], key[2], key[3]
-            tile = np.array([r[0] for r in rows])
-            cid, n = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-            x, s = _vectors([r[2] for r in rows], blob), np.array([r[3] for r in rows], np.int32)
-            a, b = np.nonzero(tile == one)[0], np.nonzero(tile == two)[0]
-            i, j = compare(x[a], s[a], x[b], s[b], table, threshold, one == two)
+        for rows, starts in _groups(batches):
+            i, j = linked(rows, starts, blob, threshold)
             if not len(i):
                 continue
-            i, j = a[i], b[j]
-            links = np.zeros(len(rows), np.int64)
+            cid, n = rows.column("cid").to_numpy(), rows.column("n").to_numpy()
+            links = np.zeros(len(cid), np.int64)
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             child, root = forest(cid[i], cid[j])
@@ -150,16 +140,68 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     return out.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with the same first seven columns; at most two tiles of a bucket are held."""
-    now, held = None, []
+_KEY = ("bucket", "one", "two", "t", "sig", "width", "label")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole groups, which share the columns of _KEY, and where each group starts; the last one of a batch waits for more."""
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns):
-            if row[:7] != now:
-                if len(held) > 1:
-                    yield now, held
-                now, held = row[:7], []
-            held.append(row[7:])
-    if len(held) > 1:
-        yield now, held
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        new = np.zeros(held.num_rows, bool)
+        new[0] = True
+        for name in _KEY:
+            column = held.column(name)
+            x = (column.dictionary_encode().indices if name == "label" else column).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.nonzero(new)[0]
+        if len(starts) > 1:
+            yield held.slice(0, starts[-1]), starts[:-1]
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def linked(rows: pa.RecordBatch, starts: np.ndarray, blob: str, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of each group that link and that no table before the group's has brought together.
+
+    A group holds one tile, or two of which only pairs across count. Small groups of like size are compared all at once.
+    """
+    one, two, tile, table, width = (rows.column(c).to_numpy() for c in ("one", "two", "tile", "t", "width"))
+    sigs = rows.column("sigs").flatten().to_numpy().reshape(rows.num_rows, -1)
+    vectors = rows.column("vec")
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.unique(width[starts]):
+        of = np.nonzero(width[starts] == w)[0]
+        inside = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in of]) if len(of) < len(starts) else np.arange(rows.num_rows)
+        x = np.zeros((rows.num_rows, w // int(blob[-1])))
+        x[inside] = _unit(_vectors(vectors.take(pa.array(inside)).to_pylist() if len(of) < len(starts) else vectors.to_pylist(), blob))
+        for n in np.unique(sizes[of]):
+            at = starts[of[sizes[of] == n]]
+            if n > SMALL:
+                for s in at.tolist():
+                    a = s + np.nonzero(tile[s : s + n] == one[s])[0]
+                    b = a if one[s] == two[s] else s + np.nonzero(tile[s : s + n] == two[s])[0]
+                    p, q = np.nonzero(x[a] @ x[b].T >= threshold)
+                    p, q = (a[p], b[q]) if one[s] != two[s] else (a[p[p < q]], b[q[p < q]])
+                    found.append(_first_meeting(p, q, sigs, table))
+                continue
+            p, q = np.triu_indices(n, 1)
+            i, j = ((at[:, None] + k).ravel() for k in (p, q))
+            across = (one[i] == two[i]) | (tile[i] != tile[j])
+            i, j = i[across], j[across]
+            for k in range(0, len(i), PAIRS):
+                p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+                near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                found.append(_first_meeting(p[near], q[near], sigs, table))
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.int64),) * 2
+
+
+def _first_meeting(i: np.ndarray, j: np.ndarray, sigs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose signatures agree in no table before their group's."""
+    before = np.arange(sigs.shape[1]) < table[i][:, None]
+    first = ~((sigs[i] == sigs[j]) & before).any(axis=1)
+    return i[first], j[first]

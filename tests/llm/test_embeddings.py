@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from llm_help import components
 
 from doclake.llm import embedding_dedup as near
@@ -46,8 +47,11 @@ def test_op7_finds_the_links(spark, sf_dir, tmp_path):
     assert sum(got[i].component_id == c for i, c in whole.items()) >= 0.98 * len(rows)
 
 
-def test_exact_where_tables_suffice(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 32])
+def test_exact_where_tables_suffice(spark, monkeypatch, small):
     monkeypatch.setattr(near, "TILE", 8)
+    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "PAIRS", 7)
     rng = np.random.default_rng(5)
     base = rng.standard_normal((12, 16))
     vectors = [(base[i % 12] + rng.standard_normal(16) * 0.12).tolist() for i in range(150)]
