@@ -277,6 +277,21 @@ class MergeCounter(Memo):
         super().forget()
         self.words.forget()
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many tokens each text has; null and empty texts have none. Runs of plain texts are made distinct first."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        out = np.zeros(len(texts), np.int64)
+        out[odd] = [self.count(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        if plain.any():
+            runs = runs_of(texts.filter(pa.array(plain)), True)
+            coded = runs.flatten().dictionary_encode()
+            known = coded.dictionary.to_pylist()
+            per_run = np.fromiter((self.pieces(spelt(run)) for run in known), np.int64, len(known))
+            out[plain] = np.add.reduceat(per_run[coded.indices.to_numpy()], runs.offsets.to_numpy()[:-1] - runs.offsets[0].as_py())
+        return out
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0

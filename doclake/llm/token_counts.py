@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from doclake.llm.bpe import counter
-from doclake.llm.common import released
+from doclake.llm.bpe import TOGETHER, counter
+from doclake.llm.common import released, text_slices
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,8 +24,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with released(counter(tokenizer)) as merger:
             for batch in batches:
-                counts = [merger.count(t.as_py()) for t in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], out.names)
+                for part in text_slices(batch, 2, TOGETHER):
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(merger.counts(part.column(2)))], out.names)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(work, out)
