@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from doclake.arrow import SLICE, numbered, text_slices
+from doclake.arrow import SLICE, numbered, plain, text_slices
 
 _FENCE = re.compile(r"\s*(?:`{3}|~{3})")
 _INDENTED = re.compile(r"[ \t]{4}")
@@ -120,21 +121,17 @@ def clean(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), repeats
     """
     if not rules.any():
         return df.withColumn(text_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    names = df.columns
-    keep = [c for c in names if c != text_col]
-    out = StructType([*(StructField(f"c{k}", df.schema[c].dataType) for k, c in enumerate(keep)), StructField("text", StringType())])
     fewer = Rules(rules.page_numbers, rules.empty_lines, rules.spaces, False)
     stay = F.lit(False) if repeats_may_stay is None else F.coalesce(repeats_may_stay, F.lit(False))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            for part in text_slices(batch, len(keep)):
-                texts = [cleaned(t or "", fewer if s else rules) for t, s in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], out.names)
+            for part in text_slices(pa.RecordBatch.from_arrays(list(batch), ["text", "stay"]), 0):
+                yield pa.array([cleaned(t or "", fewer if s else rules) for t, s in zip(plain(part.column(0)), part.column(1).to_pylist())], pa.string())
 
-    source = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"), stay.alias("stay"))
-    place = {c: f"c{k}" for k, c in enumerate(keep)} | {text_col: "text"}
-    return source.mapInArrow(work, out).select(*[F.col(place[c]).alias(c) for c in names])
+    # As a function of two columns: no other column leaves the JVM, and those that nobody asks for aren't read.
+    made = F.arrow_udf(work, StringType(), ArrowUDFType.SCALAR_ITER)(F.col(f"`{text_col}`").cast("string"), stay)
+    return df.select(*[made.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
 def to_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
