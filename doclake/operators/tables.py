@@ -11,15 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from doclake.arrow import SLICE, plain
 from doclake.operators import sheets
 
 SHEET = ["source", "sheet"]
+#: Sheets whose cells are Python objects at once.
+SHEETS = 500
 
 
 def drop_blank_rows(cells: DataFrame) -> DataFrame:
@@ -81,23 +86,36 @@ def whole_sheets(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame
     return whole.where("size(cells) > 0")
 
 
-def _rendered(cells: DataFrame, merges: DataFrame | None, schema: str, rows: Callable[[sheets.Sheet], list[tuple]]) -> DataFrame:
-    """(source, sheet, ...) with what ``rows`` makes of each sheet."""
+def _rendered(whole: DataFrame, schema: str, rows: Callable[[sheets.Sheet], list[tuple]]) -> DataFrame:
+    """(source, sheet, ...) with what ``rows`` makes of each sheet. Rows leave a worker whenever they hold some MB."""
     kinds = T.StructType.fromDDL(schema)
     names = ["source", "sheet", *kinds.names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), *(to_arrow_type(f.dataType) for f in kinds)]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for batch in batches:
-            made = []
-            for source, sheet, held, spans in zip(*(batch.column(k) for k in range(4))):
-                cells = {(c["row"], c["col"]): c["value"] for c in held.as_py()}
-                one = sheets.Sheet(source.as_py(), sheet.as_py(), cells, [tuple(m.values()) for m in spans.as_py()])
-                made += [(one.source, one.name, *row) for row in rows(one)]
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
+            for at in range(0, batch.num_rows, SHEETS):
+                part, made, held = batch.slice(at, SHEETS), [], 0
+                for source, sheet, cells, merges in zip(plain(part.column(0)), plain(part.column(1)), _structs(part.column(2)), _structs(part.column(3))):
+                    one = sheets.Sheet(source, sheet, {(r, c): v for r, c, v in cells}, merges)
+                    for row in rows(one):
+                        made.append((source, sheet, *row))
+                        held += sum([len(v) for v in row if isinstance(v, str)]) + 16
+                        if held > SLICE:
+                            yield batch_of(made)
+                            made, held = [], 0
+                if made:
+                    yield batch_of(made)
 
-    return whole_sheets(cells, merges).mapInArrow(work, f"source string, sheet string, {schema}")
+    return whole.mapInArrow(work, f"source string, sheet string, {schema}")
+
+
+def _structs(lists: pa.Array) -> list[list[tuple]]:
+    """The rows of lists of structs, each struct as a tuple."""
+    flat, stops = lists.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+    rows = list(zip(*(plain(c) for c in flat.flatten())))
+    return [rows[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def md_table(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
@@ -105,13 +123,17 @@ def md_table(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
 
     Without ``merges`` a literal backslash-n counts as a line break; with them only a merge's first cell has its value.
     """
-    enhanced = merges is not None
-    return _rendered(cells, merges, "markdown string", lambda s: [(sheets.markdown(s, enhanced),)])
+    return md_sheets(whole_sheets(cells, merges), merges is not None)
+
+
+def md_sheets(whole: DataFrame, enhanced: bool = False) -> DataFrame:
+    """What ``md_table`` makes, of sheets that are whole already, as ``whole_sheets`` gives them. No shuffle."""
+    return _rendered(whole, "markdown string", lambda s: [(sheets.markdown(s, enhanced),)])
 
 
 def html_table(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """(source, sheet, html): header and body with spans; cells below a merge's first one are left out."""
-    return _rendered(cells, merges, "html string", lambda s: [(sheets.html_table(s),)])
+    return _rendered(whole_sheets(cells, merges), "html string", lambda s: [(sheets.html_table(s),)])
 
 
 def table_records(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -121,7 +143,7 @@ def table_records(cells: DataFrame, merges: DataFrame) -> DataFrame:
     but a header has no records.
     """
     schema = "row int, col int, header string, key string, value string, merged boolean, skipped boolean, rowspan int, colspan int"
-    return _rendered(cells, merges, schema, lambda s: [tuple(r.values()) for r in sheets.records(s)])
+    return _rendered(whole_sheets(cells, merges), schema, lambda s: [tuple(r.values()) for r in sheets.records(s)])
 
 
 def json_table(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -129,7 +151,7 @@ def json_table(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
     A sheet with nothing but a header has no data, and then no columns, headers or merges in its metadata either.
     """
-    return _rendered(cells, merges, "json string", lambda s: [(sheets.as_json(s),)])
+    return _rendered(whole_sheets(cells, merges), "json string", lambda s: [(sheets.as_json(s),)])
 
 
 def json_book(tables: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from doclake import CaptionSettings, ChunkSettings, Settings, cli
+from doclake import CaptionSettings, ChunkSettings, Settings, cli, suite
 from doclake.functions import images
 from doclake.operators import chunking, cleaning, metrics, naming, routing, tables, texts
 from doclake.plans.convert import run
@@ -181,6 +181,25 @@ def test_tables_of_odd_sheets(spark):
     assert len(shared) == 1 and (shared[0].min_row, shared[0].is_master) == (1, False)
 
 
+def test_order_tables_shuffle_line_items_once(spark, sf_dir):
+    """Neither cells nor sheets are dealt out: line items are, once."""
+    plan = suite.order_tables(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_whole_sheets_are_rendered_as_their_cells_are(spark):
+    """Many sheets, more than a worker takes at once, some with holes, nulls, repeats of a name, and texts that must be escaped."""
+    rows = [("s", f"n{k}", r, c, [None, "NaN", "a|b", "x\r\ny", "\\n", " ", "v", "é"][(k + r + c) % 8]) for k in range(1200) for r in (1, 2, 4) for c in (1, 3)]
+    cells = spark.createDataFrame(rows, "source string, sheet string, row int, col int, value string").coalesce(1)
+    got = {r.sheet: r.markdown for r in tables.md_table(cells).collect()}
+    shown = ["&nbsp;", "&nbsp;", "a\\|b", "x<br>y", "<br>", " ", "v", "é"]
+    for k in (0, 1, 499, 500, 1199):
+        lines = ["| " + " | ".join([shown[(k + r + 1) % 8], "&nbsp;", shown[(k + r + 3) % 8]]) + " |" for r in (1, 2, 4)]
+        empty = "| &nbsp; | &nbsp; | &nbsp; |"
+        assert got[f"n{k}"].split("\n")[2:] == [lines[0], "| --- | --- | --- |", lines[1], empty, lines[2]]
+    assert len(got) == 1200
+
+
 def test_names_routes_and_images_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a.md"), (4, "a.md"), (5, ".md"), (6, "x" * 300 + ".docx")], "k int, name string")
     named = {r.k: r.unique_name for r in naming.unique_names(df, "name", "k").collect()}
