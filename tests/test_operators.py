@@ -6,6 +6,7 @@ import json
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -214,6 +215,16 @@ def test_names_routes_and_images_of_odd_rows(spark):
     assert [len(r.markdown) if r.markdown is not None else None for r in shown] == [None, 0, 20_000 + 2 * 19_999]
 
 
+def test_html_leaves_a_worker_in_slices():
+    """What is turned at once doesn't follow the rows of a batch."""
+    pages = [f"<p>{k} " + "x" * 50_000 for k in range(100)] + [None, "", "<b>y</b>" * 300_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["c0", "c1"])
+    parts = list(texts.turned(iter([batch]), ["k", "markdown"]))
+    assert all(p.num_rows == 1 or p.nbytes < 1.1 * texts.PAGES for p in parts) and len(parts) >= 5
+    got = {k: m for p in parts for k, m in zip(p.column("k").to_pylist(), p.column("markdown").to_pylist())}
+    assert len(got) == 103 and got[7] == "7 " + "x" * 50_000 and got[100] is None and got[101] == ""
+
+
 def test_metrics_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "id long, text string")
     got = {r.id: (r.chunk_count, r.coverage, r.redundancy) for r in metrics.structure(docs, chunking.fixed_chunks(docs, 2, 1), "id").collect()}
